@@ -287,7 +287,7 @@ def split_packed(df: DataFrame, key: str, text: str) -> DataFrame:
         known = values
         if expected is not None:
             known = values.unionByName(expected.groupBy("label_value").agg(F.sum("post").alias("c"))).groupBy("label_value").agg(F.sum("c").alias("c"))
-            own = expected.select("k", "blk", "i", "j", "label_value", "post")
+            own = post.filter("mark IS NULL").withColumn("post", F.when(F.col("j") - F.col("i") == 1, F.col("post")).otherwise(0.0)).select("k", "blk", "i", "j", "label_value", "post")
         else:
             own = lattice.withColumn("post", F.lit(0.0))
         # an arc's own share of the count says nothing about it
@@ -298,7 +298,8 @@ def split_packed(df: DataFrame, key: str, text: str) -> DataFrame:
             post = cut(per.mapInArrow(_estimate(dict(rates), total, new), "k long, blk int, i int, j int, label_value string, post double, mark string, cuts double, sites double"))
             met = {r["mark"]: (r["cuts"], r["sites"]) for r in post.filter("mark IS NOT NULL").groupBy("mark").agg(F.sum("cuts").alias("cuts"), F.sum("sites").alias("sites")).collect()}
             rates |= {m: min(0.999, max(0.001, c / s)) for m, (c, s) in met.items() if s}
-            expected = post.filter("mark IS NULL")
+            # a span over sites counts where it was seen for certain: repeated rows would vouch for each other
+            expected = post.filter("mark IS NULL AND j - i = 1")
         else:
             best = per.mapInArrow(_best(dict(rates), total, new), "k long, blk int, i int, label_value string, ends boolean")
     # rows with a lattice: their certain values and the chosen arcs, in order

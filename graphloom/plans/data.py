@@ -96,7 +96,7 @@ _BARE = "nullif(upper(regexp_replace(regexp_replace({}, '^(?s:.*)[:/]', ''), '\\
 _REFS = f"""
 WITH refs AS (
   SELECT DISTINCT * FROM (
-    SELECT 'lexicon_base' AS src_table, row_id, {_BARE.format('id')} AS ref_id, built_at AS at FROM lexicon_base
+    SELECT 'lexicon_base' AS src_table, row_id, {_BARE.format('id')} AS ref_id, built_at AS ref_at FROM lexicon_base
     UNION ALL SELECT 'lexicon_base', row_id, {_BARE.format('b')}, built_at FROM (SELECT row_id, unnest(bridging) AS b, built_at FROM lexicon_base)
     UNION ALL SELECT 'rank_scores', row_id, {_BARE.format('id')}, computed_at FROM rank_scores
     UNION ALL SELECT 'entity_stats', row_id, {_BARE.format('ent_idx')}, loaded_at FROM entity_stats)
@@ -108,9 +108,9 @@ lives AS (
            lead(logged_at) OVER (PARTITION BY {_BARE.format('id')} ORDER BY logged_at, log_id) AS until FROM id_log) WHERE act <> 'delete'),
 missing AS (
   SELECT * FROM refs r WHERE NOT EXISTS (
-    SELECT 1 FROM lives l WHERE l.id = r.ref_id AND l.since <= r.at AND (l.until IS NULL OR r.at < l.until)))
+    SELECT 1 FROM lives l WHERE l.id = r.ref_id AND l.since <= r.ref_at AND (l.until IS NULL OR r.ref_at < l.until)))
 """
 ORACLE = {
     "p5_found": _REFS + "SELECT src_table, row_id, ref_id FROM missing",
-    "p5_report": _REFS + "SELECT src_table, strftime(at, '%Y-%m') AS ref_month, count(*) AS n_orphans, count(DISTINCT row_id) AS n_rows FROM missing GROUP BY ALL",
+    "p5_report": _REFS + "SELECT src_table, strftime(ref_at, '%Y-%m') AS ref_month, count(*) AS n_orphans, count(DISTINCT row_id) AS n_rows FROM missing GROUP BY ALL",
 }
