@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import lookalike, terms
+from graphloom.llm import cut_texts, lookalike, terms
 from graphloom.session import table
 
 LABELS = ("enlabel", "frlabel", "fraliase")
@@ -32,5 +32,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_unified(spark, d).filter("is_off").select("row_id", "field_name", "pos")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_unified)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose labels or id were stored without their end."""
+    stats = table(spark, d, "entity_stats")
+    lists = cut_texts.cut_lists(stats, "row_id", "qlabels", "src_name", "ent_idx").withColumn("field_name", F.lit("qlabels"))
+    return lists.unionByName(cut_texts.cut_codes(stats, "row_id", "ent_idx", "src_name").withColumn("field_name", F.lit("ent_idx")))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How many of each source's texts and ids were cut."""
+    rows = table(spark, d, "entity_stats").select("row_id", "src_name", F.explode(F.array(F.lit("qlabels"), F.lit("ent_idx"))).alias("field_name"))
+    found = p4_found(spark, d).withColumn("cut_here", F.lit(1))
+    both = rows.join(found, ["row_id", "field_name"], "left")
+    return both.groupBy("src_name", "field_name").agg(F.count("*").alias("n_rows"), F.count("cut_here").alias("n_cut"), F.round(F.count("cut_here") / F.count("*"), 6).alias("cut_rate"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_unified, p4_found, p4_rates)}
 ORACLE: dict[str, str] = {}
