@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 
 
-def prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str | Column, out: str, buckets: int = BUCKETS) -> DataFrame:
+def prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str | Column, out: str, buckets: int = BUCKETS, last: Column | None = None) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same group that come before.
 
     The order inside a group is (hash bucket of `order`, `order`): fixed by the data, the same
     in every run, and free of any meaning. Each group is cut into `buckets` sub-groups that are summed
     on their own; only their totals (at most `buckets` a group) meet in one window. A group with a
-    third of all rows therefore runs in `buckets` tasks. Null values count as 0; a null group key is a group.
+    third of all rows therefore runs in `buckets` tasks. Rows for which `last` holds, which must be few, come after
+    all others. Null values count as 0; a null group key is a group.
     """
     v = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0)).cast("long")
     part = [*group, "__bucket"]
-    rows = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets))).withColumn("__v", v)
+    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
+    rows = df.withColumn("__bucket", bucket if last is None else F.when(last, F.lit(buckets).cast("long")).otherwise(bucket)).withColumn("__v", v)
     inner = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__in", F.sum("__v").over(inner) - F.col("__v"))
     outer = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
