@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import cut_texts, lookalike, terms
-from graphloom.session import table
+from graphloom.llm import cut_texts, lookalike, mixing, packing, splitting, terms
+from graphloom.llm.tokens import with_sizes
+from graphloom.session import cut, table
 
 LABELS = ("enlabel", "frlabel", "fraliase")
 
@@ -47,5 +48,46 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("src_name", "field_name").agg(F.count("*").alias("n_rows"), F.count("cut_here").alias("n_cut"), F.round(F.count("cut_here") / F.count("*"), 6).alias("cut_rate"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_unified, p4_found, p4_rates)}
+def _limits(spark: SparkSession, d: str, kind: str) -> list[tuple[str, int, int]]:
+    rows = table(spark, d, "size_limits").filter(F.col("use_name").startswith(kind)).orderBy("use_name").collect()
+    return [(r["use_name"], r["max_tokens"], r["overlap_tokens"] or 0) for r in rows]
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one larger than a container, and its container, for each container size."""
+    sizes = cut(with_sizes(table(spark, d, "documents").select("doc_id", "text"), "text"))
+    out = None
+    for name, capacity, _ in _limits(spark, d, "pack_"):
+        part = packing.pack(sizes, "doc_id", "n_tokens", capacity).withColumn("use_name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p8_room(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each size are."""
+    limits = table(spark, d, "size_limits").select(F.col("use_name").alias("u"), "max_tokens")
+    packed = p8_packed(spark, d).filter("piece_size > 0").groupBy("use_name").agg(F.count_distinct("container_id").alias("n_containers"), F.sum("piece_size").alias("n_tokens"))
+    return packed.join(limits, F.col("use_name") == F.col("u")).select("use_name", "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / F.col("max_tokens")).alias("n_at_least"), F.round(F.col("n_tokens") / F.col("max_tokens") / F.col("n_containers"), 6).alias("fill"))
+
+
+def p9_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn so that each source has its share."""
+    docs = cut(with_sizes(table(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("text_id"), "text"), "text"))
+    return mixing.mix(docs, "doc_id", "text_id", "source", "n_tokens", table(spark, d, "source_weights"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source, and how often its documents are used at most."""
+    drawn = p9_drawn(spark, d).groupBy("src_name").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_uses"), F.max("use_no").alias("most_uses"))
+    both = table(spark, d, "source_weights").join(drawn, "src_name", "left").fillna(0, ["n_tokens", "n_uses", "most_uses"])
+    total = both.agg(F.sum("n_tokens").alias("total"))
+    return both.join(F.broadcast(total)).select("src_name", "target_share", F.round(F.try_divide("n_tokens", "total"), 6).alias("actual_share"), "n_tokens", "n_uses", "most_uses", "max_repeats")
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every document for each piece limit."""
+    return splitting.split_texts(table(spark, d, "documents"), "doc_id", "text", _limits(spark, d, "split_"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_unified, p4_found, p4_rates, p8_packed, p8_room, p9_drawn, p9_shares, p10_pieces)}
 ORACLE: dict[str, str] = {}
