@@ -42,3 +42,43 @@ def prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows; reads no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows
+
+
+def ordered_position(df: DataFrame, group: Sequence[str], order: str, ties: Sequence[str], out: str, width: int = 4096) -> DataFrame:
+    """Adds `out`: each row's place, from 0, in its group by `order` (a whole number) and then `ties`.
+
+    Rows are ranked inside runs of `width` order values; only the runs' row counts meet in one window, so a group
+    with a third of all rows is spread over its runs. Null orders come last.
+    """
+    run = F.coalesce(F.floor(F.col(order) / width), F.lit(2**62))
+    part = [*group, "__run"]
+    rows = df.withColumn("__run", run).withColumn("__in", F.row_number().over(Window.partitionBy(*part).orderBy(F.asc_nulls_last(order), *ties)) - 1)
+    names = {c: f"__g{i}" for i, c in enumerate(part)}
+    totals = df.withColumn("__run", run).groupBy(*part).agg(F.count("*").alias("__t"))
+    before = F.sum("__t").over(Window.partitionBy(*group).orderBy("__run").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__t")
+    totals = totals.withColumn("__before", before).select(*(F.col(c).alias(n) for c, n in names.items()), "__before")
+    on = None
+    for c, n in names.items():
+        term = F.col(c).eqNullSafe(F.col(n))
+        on = term if on is None else on & term
+    return rows.join(totals, on).withColumn(out, F.col("__in") + F.col("__before")).drop("__run", "__in", "__before", *names.values())
+
+
+def dense_index(df: DataFrame, order: Sequence[Column | str], out: str, partitions: int | None = None) -> DataFrame:
+    """Adds `out`: 0..n-1 in the given order over the whole table, without one task for all of it.
+
+    The table is range-partitioned and kept; each partition is numbered on its own and starts where those
+    before it end. The order should be total. Comes to the driver: one row a partition.
+    """
+    from graphloom.session import cut
+
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    kept = cut(df.repartitionByRange(n, *cols).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["count"] for r in kept.groupBy("__part").count().collect()}
+    starts, at = [0] * n, 0
+    for p in range(n):
+        starts[p] = at
+        at += sizes.get(p, 0)
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*cols))
+    return kept.withColumn(out, F.element_at(F.lit(starts), F.col("__part") + 1).cast("long") + inside - 1).drop("__part")
