@@ -15,8 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.lang.terms import App, Const, Exists, Fn, Term, Var, normalise, spine, substitute
-from graphloom.lang.types import BOOL, DATE, ENT, NUM, STR, TypeFailure, typecheck
+from graphloom.lang.terms import App, Const, Exists, Fn, Term, Var, normalise, spine, substitute, typecheck
+from graphloom.lang.types import BOOL, DATE, ENT, NUM, STR, TypeFailure
 
 #: Column of the triples that holds a value of each type.
 OBJECT = {ENT: "o", NUM: "o_num", STR: "o_str", DATE: "o_date"}

@@ -48,35 +48,3 @@ def apply_type(functor: Type | None, argument: Type | None) -> Type:
             return FAIL
         functor = _fill(functor, argument) if functor[0] == ANY else functor
     return functor[1] if functor[0] == argument else FAIL
-
-
-def typecheck(term, strict: bool = True) -> Type:
-    """The type of a term. Without a type: TypeFailure, or FAIL if not strict."""
-    from graphloom.lang import terms as T
-
-    def go(x, env: tuple[Type, ...]) -> Type:
-        match x:
-            case T.Var(index=None, name=name):
-                raise TypeFailure(f"free variable {name}")
-            case T.Var(index=i):
-                return env[i]
-            case T.Const(type=t) | T.Fn(type=t):
-                return t
-            case T.Lam(type=t, body=body):
-                return (t, go(body, (t, *env)))
-            case T.Exists(type=t, body=body):
-                return go(body, (t, *env))
-            case T.App(fn=fn, arg=arg):
-                a, b = go(fn, env), go(arg, env)
-                out = apply_type(a, b)
-                if out == FAIL:
-                    raise TypeFailure(f"{T.show(fn)} : {show_type(a)} doesn't apply to {T.show(arg)} : {show_type(b)}")
-                return out
-        raise TypeFailure(f"no term: {x!r}")
-
-    try:
-        return go(term, ())
-    except TypeFailure:
-        if strict:
-            raise
-        return FAIL
