@@ -25,6 +25,8 @@ STRONG = ";；|•\t\n\r"
 KINDS = (",", "/")
 #: Most sites that one arc of a lattice spans, besides the arc over all of them.
 SPAN = 4
+#: How often a bare slash and a comma separate before anything is seen, and how many sites that view weighs.
+PRIOR, PRIOR_SITES = {",": 0.9, "/": 0.05}, 50
 #: Rounds of expectation-maximisation before the Viterbi pass.
 ROUNDS = 2
 #: Characters a label is made of, for the probability of one never seen.
@@ -265,7 +267,10 @@ def split_packed(df: DataFrame, key: str, text: str) -> DataFrame:
         per_label = (seen[f"in{i}"] or 0) / max(1, seen["arrays"] or 0)
         # a slash stands in labels of any row, a comma's rows have no other mark: their own parts count
         labels = (seen["n"] or 0) + (sites[f"p{i}"] or 0) if m == "/" else sites[f"p{i}"] or 0
-        rates[m] = min(0.95, max(0.05, 1 - per_label * labels / max(1, sites[f"s{i}"] or 0)))
+        met = sites[f"s{i}"] or 0
+        sure_of = min(met, seen["arrays"] or 0)
+        guess = min(0.95, max(0.05, 1 - per_label * labels / max(1, met)))
+        rates[m] = (PRIOR[m] * PRIOR_SITES + guess * sure_of) / (PRIOR_SITES + sure_of)
 
     values = sure.groupBy("label_value").agg(F.count("*").cast("double").alias("c"))
     once = values.agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once")).first()
@@ -297,7 +302,7 @@ def split_packed(df: DataFrame, key: str, text: str) -> DataFrame:
         if turn < ROUNDS:
             post = cut(per.mapInArrow(_estimate(dict(rates), total, new), "k long, blk int, i int, j int, label_value string, post double, mark string, cuts double, sites double"))
             met = {r["mark"]: (r["cuts"], r["sites"]) for r in post.filter("mark IS NOT NULL").groupBy("mark").agg(F.sum("cuts").alias("cuts"), F.sum("sites").alias("sites")).collect()}
-            rates |= {m: min(0.999, max(0.001, c / s)) for m, (c, s) in met.items() if s}
+            rates |= {m: min(0.999, max(0.001, (c + PRIOR[m] * PRIOR_SITES) / (s + PRIOR_SITES))) for m, (c, s) in met.items()}
             # a span over sites counts where it was seen for certain: repeated rows would vouch for each other
             expected = post.filter("mark IS NULL AND j - i = 1")
         else:
