@@ -37,7 +37,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose labels or id were stored without their end."""
     stats = table(spark, d, "entity_stats")
     lists = cut_texts.cut_lists(stats, "row_id", "qlabels", "src_name", "ent_idx").withColumn("field_name", F.lit("qlabels"))
-    return lists.unionByName(cut_texts.cut_codes(stats, "row_id", "ent_idx", "src_name").withColumn("field_name", F.lit("ent_idx")))
+    return lists.unionByName(cut_texts.cut_codes(stats, "row_id", "ent_idx").withColumn("field_name", F.lit("ent_idx")))
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
