@@ -55,7 +55,7 @@ def _circles(state: DataFrame, k: int) -> DataFrame:
     """(id, root_id, tree_depth) of the nodes that never reach a root.
 
     Jumping far enough from anywhere lands on a circle, and on every node of it; the jumps are far enough
-    once the set of landing places stops shrinking.
+    once the set of landing places stops shrinking, and have seen the whole circle once no smaller id comes up.
     """
     lost = state.filter(F.col(f"a{k}").isNotNull())
     jump = cut(lost.select("id", F.col("parent").alias("to"), F.col("id").alias("low")))
@@ -63,11 +63,13 @@ def _circles(state: DataFrame, k: int) -> DataFrame:
     while True:
         # low: the smallest id within the reach so far
         over = jump.select(F.col("id").alias("__j"), F.col("to").alias("__to"), F.col("low").alias("__low"))
-        jump = cut(jump.join(over, F.col("to") == F.col("__j")).select("id", F.col("__to").alias("to"), F.least("low", "__low").alias("low")), jump)
-        now = jump.select("to").distinct().count()
-        if now == landed:
+        reached = jump.join(over, F.col("to") == F.col("__j"))
+        jump = cut(reached.select("id", F.col("__to").alias("to"), F.least("low", "__low").alias("low"), (F.col("__low") < F.col("low")).alias("lower")), jump)
+        now = jump.agg(F.count_distinct("to").alias("n"), F.coalesce(F.sum(F.col("lower").cast("long")), F.lit(0)).alias("lower")).first()
+        # reaches that see nothing lower in the next reach, all around a circle, have seen all of it
+        if now["n"] == landed and not now["lower"]:
             break
-        landed = now
+        landed = now["n"]
     on = cut(jump.select(F.col("to").alias("__on")).distinct())
     marked = cut(jump.join(on, F.col("id") == F.col("__on"), "left"))
     lows = marked.filter("__on IS NOT NULL").select(F.col("id").alias("__c"), F.col("low").alias("root_id"))

@@ -61,6 +61,10 @@ def test_long_chain_and_star(spark):
     check(spark, [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(70)] + [(f"k{i}", "hub") for i in range(80)])
 
 
+def test_long_circle_alone(spark):
+    check(spark, [(f"r{(i * 7) % 23:02d}", f"r{((i + 1) * 7) % 23:02d}") for i in range(23)])
+
+
 def test_empty(spark):
     _, sets = run(spark, [])
     assert sets.count() == 0
