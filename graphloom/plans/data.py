@@ -114,3 +114,33 @@ ORACLE = {
     "p5_found": _REFS + "SELECT src_table, row_id, ref_id FROM missing",
     "p5_report": _REFS + "SELECT src_table, strftime(ref_at, '%Y-%m') AS ref_month, count(*) AS n_orphans, count(DISTINCT row_id) AS n_rows FROM missing GROUP BY ALL",
 }
+
+_DUMP = r"""
+WITH dump AS (SELECT line_no, regexp_replace(regexp_replace(line, '^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+$', '', 'g'), ',$', '') AS t FROM dump_lines),
+ok AS (SELECT line_no, t::JSON AS j FROM dump WHERE t LIKE '{%' AND json_valid(t)),
+flat AS (
+  SELECT line_no, s AS sect, unnest(json_keys(j, '$.' || s)) AS entry_key, j FROM ok, (SELECT unnest(['labels', 'sitelinks', 'aliases', 'claims']) AS s) WHERE json_type(j, '$.' || s) = 'OBJECT'),
+entry AS (SELECT line_no, sect, entry_key, json_extract(j, '$.' || sect || '."' || entry_key || '"') AS v FROM flat),
+element AS (
+  SELECT line_no, sect, entry_key, 0 AS pos, v FROM entry WHERE sect IN ('labels', 'sitelinks') AND json_type(v) <> 'NULL'
+  UNION ALL SELECT line_no, sect, entry_key, 0, v FROM entry WHERE sect IN ('aliases', 'claims') AND json_type(v) NOT IN ('NULL', 'ARRAY')
+  UNION ALL SELECT line_no, sect, entry_key, p, json_extract(v, '$[' || p || ']') FROM (SELECT *, unnest(range(json_array_length(v)::BIGINT))::INT AS p FROM entry WHERE sect IN ('aliases', 'claims') AND json_type(v) = 'ARRAY')),
+qual AS (SELECT line_no, entry_key, pos, unnest(json_keys(v, '$.qualifiers')) AS sub_key, v FROM element WHERE sect = 'claims' AND json_type(v, '$.qualifiers') = 'OBJECT'),
+qv AS (SELECT line_no, entry_key, pos, sub_key, json_extract(v, '$.qualifiers."' || sub_key || '"') AS q FROM qual)
+"""
+ORACLE["p2_found"] = _DUMP + """
+SELECT line_no, sect, entry_key, pos::INT AS pos, '' AS sub_key, -1 AS sub_pos FROM element
+UNION ALL SELECT line_no, 'qualifiers', entry_key, pos, sub_key, unnest(range(CASE json_type(q) WHEN 'ARRAY' THEN json_array_length(q)::BIGINT WHEN 'NULL' THEN 0 ELSE 1 END::BIGINT))::INT FROM qv
+"""
+# depths go down from the roots; what they don't reach is closed over upwards, and a node in its own closure is on a circle
+ORACLE["p6_found"] = _DUMP.replace("WITH dump", "WITH RECURSIVE dump", 1) + f"""
+, raw AS (SELECT json_extract_string(ok.j, '$.id') AS c, json_extract_string(e.v, '$.mainsnak.datavalue.value.id') AS p FROM element e JOIN ok USING (line_no)
+  WHERE sect = 'claims' AND entry_key = 'P279' AND json_type(e.v, '$.mainsnak.datavalue.value') = 'OBJECT'),
+link AS (SELECT {_BARE.format('c')} AS c, min({_BARE.format('p')}) AS p FROM raw WHERE {_BARE.format('c')} IS NOT NULL AND {_BARE.format('p')} IS NOT NULL GROUP BY 1),
+node AS (SELECT c AS id FROM link UNION SELECT p FROM link),
+down AS (SELECT id, id AS root_id, 0 AS tree_depth FROM node WHERE id NOT IN (SELECT c FROM link) UNION ALL SELECT l.c, d.root_id, d.tree_depth + 1 FROM down d JOIN link l ON l.p = d.id),
+lost AS (SELECT id FROM node WHERE id NOT IN (SELECT id FROM down)),
+up AS (SELECT id, p AS x FROM lost JOIN link ON c = id UNION SELECT up.id, l.p FROM up JOIN link l ON l.c = up.x),
+ring AS (SELECT id FROM up WHERE id = x)
+SELECT id, root_id, tree_depth FROM down
+UNION ALL SELECT up.id, min(x), CASE WHEN up.id IN (SELECT id FROM ring) THEN -1 ELSE -2 END FROM up WHERE x IN (SELECT id FROM ring) GROUP BY up.id"""

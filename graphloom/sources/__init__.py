@@ -1,0 +1,47 @@
+"""Readers and writers of the formats around the graph; those of questions, lexicons and trees are with their subjects."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_dump(spark: SparkSession, path: str, name: str = "dump") -> DataFrame:
+    """(line_no, dump_name, line) of a dump, a JSON array with an item a line; plain, gzip or bz2, of which bz2 is split.
+
+    Line numbers grow with the file's order and are unique, but have gaps.
+    """
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.lit(name).alias("dump_name"), F.col("value").alias("line"))
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(id, score) of lines with an id and a score; others are left out."""
+    cols = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).select(F.get(cols, F.lit(0)).alias("id"), F.get(cols, F.lit(1)).try_cast("double").alias("score")).filter("id <> '' AND score IS NOT NULL")
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    scores.select(F.concat_ws("\t", "id", F.col("score").cast("string"))).write.mode("overwrite").text(path)
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of lines with two numbers."""
+    return spark.read.schema("src long, dst long").option("sep", " ").csv(path).dropna()
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    edges.select(F.concat_ws(" ", "src", "dst")).write.mode("overwrite").text(path)
+
+
+def write_triples(triples: DataFrame, path: str) -> None:
+    """Triples by property, so that a query reads only the properties it names."""
+    triples.write.mode("overwrite").partitionBy("p").parquet(path)
+
+
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("s", "p", "o", "o_num", "o_str", "o_date")
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """JSON lines without the fields that are null."""
+    df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
