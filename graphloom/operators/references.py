@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +25,9 @@ def orphans(refs: DataFrame, keys: DataFrame, columns: Sequence[str], match: str
         raise ValueError(f"match must be one of {MATCHES}")
     compared = [*columns, *([at] if at else [])]
     out = None
-    for mask in product((False, True), repeat=len(compared)):
+    # one pass finds the masks that occur, 2^columns rows at most; each then costs one anti-join
+    there = {tuple(r) for r in refs.select(*(F.col(c).isNull().alias(f"m{i}") for i, c in enumerate(compared))).distinct().collect()}
+    for mask in sorted(there) or [(False,) * len(compared)]:
         nulls = [c for c, isnull in zip(compared, mask) if isnull]
         null_keys = [c for c in nulls if c in columns]
         rows = refs
@@ -37,7 +38,7 @@ def orphans(refs: DataFrame, keys: DataFrame, columns: Sequence[str], match: str
         if not (null_keys and match == "full"):
             rows = _missing(rows, keys, [c for c in columns if c not in nulls], None if at in nulls else at, since, until)
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return refs.limit(0) if out is None else out
 
 
 def _missing(refs: DataFrame, keys: DataFrame, columns: Sequence[str], at: str | None, since: str | None, until: str | None) -> DataFrame:

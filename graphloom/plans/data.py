@@ -39,11 +39,11 @@ def references_at(spark: SparkSession, d: str) -> DataFrame:
 def orphan_references(spark: SparkSession, d: str) -> DataFrame:
     core = table(spark, d, "core_entities").select(bare_id("id").alias("ref_id"), F.col("created_at").alias("since"), F.col("deleted_at").alias("until"))
     log = table(spark, d, "id_log").withColumn("id", bare_id("id"))
-    lives = references.lifetimes(log, "id", "act", "logged_at", "log_id").withColumnRenamed("id", "ref_id")
+    lives = cut(references.lifetimes(log, "id", "act", "logged_at", "log_id").withColumnRenamed("id", "ref_id"))
     # the fixed table goes first: it takes out the ids that most rows refer to, before anything is shuffled
     if small_enough(core, BROADCAST_ROWS):
         core = F.broadcast(core)
-    rest = references.orphans(references_at(spark, d), core, ["ref_id"], "simple", "at", "since", "until")
+    rest = cut(references.orphans(references_at(spark, d), core, ["ref_id"], "simple", "at", "since", "until"))
     return references.orphans(rest, lives, ["ref_id"], "simple", "at", "since", "until")
 
 
