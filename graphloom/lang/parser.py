@@ -6,7 +6,7 @@ import datetime
 import re
 from collections.abc import Callable, Iterable
 
-from graphloom.lang.terms import App, Exists, Fn, Lam, Term, Var, apply, bind, constant, entity, prop
+from graphloom.lang.terms import Exists, Fn, Lam, Term, Var, apply, bind, constant, entity, prop
 from graphloom.lang.types import ANY, BOOL, ENT, NUM, STR, Type, arrow
 
 _TOKEN = re.compile(
@@ -179,7 +179,3 @@ def standard_context(property_types: dict[str, Type] | None = None) -> Context:
     out = Context(property_types)
     out.source(COMBINATORS.strip().splitlines())
     return out
-
-
-def application(term: Term) -> bool:
-    return isinstance(term, App)

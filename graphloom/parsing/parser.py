@@ -262,7 +262,7 @@ def answers_by_shape(derivations: DataFrame, kb, most_shapes: int = 64) -> DataF
             for r in own.select("term").distinct().toLocalIterator():
                 rows = kb.query(r["term"], None)
                 if len(rows.columns) == 1:
-                    got = own.filter(F.col("term") == r["term"]).select("qid", "deriv").join(rows.toDF("answer"))
+                    got = own.select("qid", "deriv", "term").join(rows.toDF("answer").withColumn("term", F.lit(r["term"])), "term").select("qid", "deriv", "answer")
                     part = got if part is None else part.unionByName(got)
         if part is not None:
             out = part if out is None else out.unionByName(part)
