@@ -79,9 +79,9 @@ def p9_drawn(spark: SparkSession, d: str) -> DataFrame:
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of every source, and how often its documents are used at most."""
     drawn = p9_drawn(spark, d).groupBy("src_name").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_uses"), F.max("use_no").alias("most_uses"))
-    both = table(spark, d, "source_weights").join(drawn, "src_name", "left").fillna(0, ["n_tokens", "n_uses", "most_uses"])
-    total = both.agg(F.sum("n_tokens").alias("total"))
-    return both.join(F.broadcast(total)).select("src_name", "target_share", F.round(F.try_divide("n_tokens", "total"), 6).alias("actual_share"), "n_tokens", "n_uses", "most_uses", "max_repeats")
+    both = cut(table(spark, d, "source_weights").join(drawn, "src_name", "left").fillna(0, ["n_tokens", "n_uses", "most_uses"]))
+    total = F.lit(both.agg(F.sum("n_tokens")).first()[0])
+    return both.select("src_name", "target_share", F.round(F.try_divide(F.col("n_tokens"), total), 6).alias("actual_share"), "n_tokens", "n_uses", "most_uses", "max_repeats")
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
