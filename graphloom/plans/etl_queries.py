@@ -160,9 +160,9 @@ def etl_inverted_dictionary(spark, d):
 
 @query()
 def etl_lexicon_base(spark, d):
-    """The lexicon base from the dump and ranks of its own paths."""
+    """The lexicon base from the dump and the converged ranks of its own paths."""
     items = dump.read_items(table(spark, d, "dump_lines"))
-    ranks = rank.ranked(rank.pagerank(rank.edges(dump.paths(items)), rounds=3), ["id"])
+    ranks = rank.ranked(rank.pagerank(rank.edges(dump.paths(items))), ["id"])
     base = lexicon.lexicon_base(items, ranks)
     return base.select("id", "enlabel", "order", "frlabel", F.array_join("fraliase", "|").alias("fraliase"), F.array_join("bridging", "|").alias("bridging"))
 
@@ -210,9 +210,16 @@ r{k + 1} AS (SELECT ids.id, 0.15::DOUBLE / c.n + 0.85::DOUBLE * l{k}.x / c.n + 0
 
 @query(_pagerank_sql(5))
 def graph_pagerank(spark, d):
+    """The scores after five rounds, which SQL can follow; graph_pagerank_converged has the scores to use."""
     return rank.pagerank(rank.edges(table(spark, d, "statement_paths")), rounds=5).select("id", F.round("score", 9).alias("score"))
 
 
+@query()
+def graph_pagerank_converged(spark, d):
+    """The scores at the operator's tolerance."""
+    return rank.pagerank(rank.edges(table(spark, d, "statement_paths"))).select("id", F.round("score", 9).alias("score"))
+
+
 @query("""SELECT row_id, id, edge_mode, row_number() OVER (ORDER BY score DESC, row_id) - 1 AS "order" FROM rank_scores WHERE id IS NOT NULL AND score IS NOT NULL""")
 def graph_rank_order(spark, d):
     scores = table(spark, d, "rank_scores").filter("id IS NOT NULL AND score IS NOT NULL").select("row_id", "id", "edge_mode", "score")

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from graphloom import sources, streaming
 from graphloom.etl import dump, lexicon
 from graphloom.graph import rank
 from graphloom.operators import skew
+from graphloom.plans import etl_queries
 from graphloom.plans.data import DUMP_PATHS
 from graphloom.text import functions as T
 from graphloom.text import tokenizer as K
@@ -131,6 +133,39 @@ def test_pagerank_against_plain_iteration(spark):
     assert rank.pagerank(spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
+def plain_pagerank(links, rounds):
+    nodes, out = sorted({x for e in links for x in e}), {}
+    for s, t in set(links):
+        out.setdefault(s, []).append(t)
+    score = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(rounds):
+        lost = sum(score[n] for n in nodes if n not in out)
+        new = {n: (0.15 + 0.85 * lost) / len(nodes) for n in nodes}
+        for s, ts in out.items():
+            for t in ts:
+                new[t] += 0.85 * score[s] / len(ts)
+        score = new
+    return score
+
+
+def test_registered_ranks_converge(spark, tmp_path):
+    rnd = random.Random(14)
+    claims = {f"Q{i}": {"P31": f"Q{(i + 1) % 12}", **{f"P{p}": f"Q{rnd.randrange(12)}" for p in rnd.sample(range(2, 7), 2)}} for i in range(12)}
+    links = sorted({e for q, ps in claims.items() for p, o in ps.items() for e in ((q, p), (p, o))})
+    lines = [json.dumps({"id": q, "labels": {"en": {"value": q}}, "sitelinks": {"a": {}}, "claims": {p: [snak(ENT(o))] for p, o in ps.items()}}) for q, ps in claims.items()]
+    spark.createDataFrame(list(enumerate(lines)), "line_no long, line string").write.parquet(str(tmp_path / "dump_lines.parquet"))
+    spark.createDataFrame([([q, p, o],) for q, ps in claims.items() for p, o in ps.items()], "path_ids array<string>").write.parquet(str(tmp_path / "statement_paths.parquet"))
+    want = plain_pagerank(links, 300)
+    order = lambda score: sorted(score, key=lambda n: (-score[n], n))
+    assert order(want) != order(plain_pagerank(links, 3)) and min(a - b for a, b in zip(sorted(want.values(), reverse=True), sorted(want.values(), reverse=True)[1:])) > 1e-4
+    got = {r["id"]: r["score"] for r in etl_queries.graph_pagerank_converged(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and sum(abs(got[n] - want[n]) for n in want) < 1e-4 < sum(abs(plain_pagerank(links, 5)[n] - want[n]) for n in want)
+    place = {n: i for i, n in enumerate(order(want))}
+    base = {r["id"]: r for r in etl_queries.etl_lexicon_base(spark, str(tmp_path)).collect()}
+    assert {q: r["order"] for q, r in base.items()} == {q: place[q] for q in claims}
+    assert {q: r["bridging"] for q, r in base.items()} == {q: "|".join(sorted(ps, key=place.get)) for q, ps in claims.items()}
+
+
 def test_indexes_and_sums_with_a_hot_group(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", i % 7 if i % 5 else None, "x") for i in range(600)], "id long, g string, v long, __t string")
     rows = skew.prefix_sum(df, ["g"], ["id"], "v", "before").collect()
