@@ -155,9 +155,16 @@ v AS (SELECT unnest([label, lower(label), upper(label[1]) || lower(label[2:]), C
 k AS (SELECT named_entity, id, min(rank_order) AS o FROM v WHERE regexp_matches(named_entity, '[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches(named_entity, '[*+()\\[\\]?\\\\]') GROUP BY ALL)
 SELECT named_entity, row_number() OVER (PARTITION BY named_entity ORDER BY o, id) - 1 AS pos, id FROM k""")
 def etl_inverted_dictionary(spark, d):
+    """The dictionary without title case, which SQL lacks; etl_inverted_dictionary_full is the whole one."""
     return lexicon.dictionary(table(spark, d, "lexicon_base"), "rank_order", title_case=False)
 
 
+@query()
+def etl_inverted_dictionary_full(spark, d):
+    """The dictionary with all four case forms of every label."""
+    return lexicon.dictionary(table(spark, d, "lexicon_base"), "rank_order")
+
+
 @query()
 def etl_lexicon_base(spark, d):
     """The lexicon base from the dump and the converged ranks of its own paths."""

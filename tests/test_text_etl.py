@@ -107,6 +107,21 @@ def test_dump_to_lexicon(spark):
     assert ("One", 0, "Q1") in entries and ("Ones", 0, "Q1") in entries and ("props", 0, "P2") in entries
 
 
+def test_registered_dictionary_has_title_case(spark, tmp_path):
+    rows = [(1, "Q1", "toll bridge", 3, "pont à péage", ["l'arc (x)", "pont"]), (2, "Q2", "bridge", 1, "pont", None), (3, "P7", "Pont À Péage", 2, None, []), (4, T.STOP_IDS[0], "pont", 0, None, None)]
+    spark.createDataFrame(rows, "row_id long, id string, enlabel string, rank_order int, frlabel string, fraliase array<string>").write.parquet(str(tmp_path / "lexicon_base.parquet"))
+    want = {}
+    for _, i, en, o, fr, aliases in rows[:3]:
+        for label in {x for x in (en, fr, *(aliases or [])) if x}:
+            for form in {label, label.lower(), label.title(), label[:1].upper() + label[1:].lower(), *([label + "s"] if label == en and " " not in label else [])}:
+                if not re.search(r"[*+()\[\]?\\]", form):
+                    want.setdefault(form, set()).add((o, i))
+    want = {(form, n, i) for form, ids in want.items() for n, (_, i) in enumerate(sorted(ids))}
+    assert {("Pont À Péage", 0, "P7"), ("Pont À Péage", 1, "Q1"), ("Toll Bridge", 0, "Q1")} <= want
+    got = [tuple(r) for r in etl_queries.etl_inverted_dictionary_full(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("mode, extra", [(1, set()), (2, {("a", "c"), ("d", "g"), ("h", "j"), ("h", "l"), ("j", "l")})])
 def test_edges(spark, mode, extra):
     df = spark.createDataFrame([(["a", "b", "c"],), (["d", "e", "f", "g"],), (["h", "i", "j", "k", "l"],), (["a", "b", "c"],), (None,), ([],), (["z"],), (["a", None],)], "path_ids array<string>")
