@@ -69,11 +69,11 @@ def text_link_entity(spark, d):
 
 @query()
 def text_linked_tokens(spark, d):
-    """Tokens of the questions with what they stand for."""
+    """Tokens of all documents with what they stand for, and the document's source."""
     lex = _lexicon(spark, d)
-    docs = table(spark, d, "documents").filter("source = 'question_sets'")
-    toks = tokenizer.tokenize(docs, "doc_id", "text", lex, compounds=tokenizer.compound_regex())
-    return tokenizer.link(toks, lex).select("doc_id", "pos", "form", "kind", "macro")
+    docs = table(spark, d, "documents")
+    toks = tokenizer.tokenize(docs, "doc_id", "text", lex, compounds=tokenizer.compound_regex(), keep=("source",))
+    return tokenizer.link(toks, lex).select("doc_id", "pos", "form", "kind", "macro", "source")
 
 
 @query(f"""SELECT macro, count(*) AS n FROM (SELECT CASE WHEN form = 'et' THEN 'AND' WHEN form = 'ou' THEN 'OR' WHEN form IN ({", ".join(f"'{w}'" for w in T.WH_WORDS)}) THEN 'WHQ' END AS macro

@@ -16,6 +16,8 @@ from graphloom.text import functions as T
 
 #: Keys that a trie may hold, the best-ranked first.
 MAX_VOCAB = 1_000_000
+#: Tokens of a batch sent back, beside those of its last text.
+SENT = 50_000
 
 # The intended compounds of the pattern list, pieces joined by '+'.
 COMPOUNDS = """\\.+\\.+\\. \\.+\\. aujourd'+hui celui+-+ci celui+-+là celle+-+ci celle+-+là celles+-+ci celles+-+là ceux+-+ci ceux+-+là
@@ -83,8 +85,8 @@ def tokens_of(text: str, trie: Trie, compound: re.Pattern | None) -> list[tuple[
     return out
 
 
-def tokenize(df: DataFrame, key: str, text: str, lexicon: DataFrame, max_vocab: int = MAX_VOCAB, compounds: str | None = None) -> DataFrame:
-    """(key, pos, form, kind): tokens of `text`, multi-word keys of the lexicon (named_entity, rank) in one piece.
+def tokenize(df: DataFrame, key: str, text: str, lexicon: DataFrame, max_vocab: int = MAX_VOCAB, compounds: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, pos, form, kind) and the columns `keep`: tokens of `text`, multi-word keys of the lexicon (named_entity, rank) in one piece.
 
     Null and empty texts give no rows. Keys beyond max_vocab, by rank, aren't matched; that is the index's stated size.
     """
@@ -95,16 +97,25 @@ def tokenize(df: DataFrame, key: str, text: str, lexicon: DataFrame, max_vocab:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, rx = Trie(held.value), re.compile(pattern) if pattern else None
         for b in batches:
-            ks, pos, forms, kinds = [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            at, pos, forms, kinds = [], [], [], []
+
+            def rows() -> pa.RecordBatch:
+                own = [b.column(i).take(pa.array(at, pa.int64())) for i in (0, *range(2, b.num_columns))]
+                return pa.RecordBatch.from_arrays([own[0], pa.array(pos, pa.int32()), pa.array(forms, pa.string()), pa.array(kinds, pa.string()), *own[1:]], names=[key, "pos", "form", "kind", *keep])
+
+            for n, t in enumerate(b.column(1).to_pylist()):
                 for i, (form, kind) in enumerate(tokens_of(t or "", trie, rx)):
-                    ks.append(k)
+                    at.append(n)
                     pos.append(i)
                     forms.append(form)
                     kinds.append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(pos, pa.int32()), pa.array(forms, pa.string()), pa.array(kinds, pa.string())], names=[key, "pos", "form", "kind"])
+                if len(at) >= SENT:
+                    yield rows()
+                    at, pos, forms, kinds = [], [], [], []
+            yield rows()
 
-    return df.select(F.col(key).cast("long").alias(key), T.normalize(F.col(text)).alias("t")).mapInArrow(run, f"`{key}` long, pos int, form string, kind string")
+    kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(F.col(key).cast("long").alias(key), T.normalize(F.col(text)).alias("t"), *keep).mapInArrow(run, f"`{key}` long, pos int, form string, kind string{kept}")
 
 
 def link(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:

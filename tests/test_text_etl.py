@@ -122,6 +122,13 @@ def test_registered_dictionary_has_title_case(spark, tmp_path):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_linked_tokens_of_every_source(spark, tmp_path):
+    spark.createDataFrame([(1, "Q1", "old bridge", 0, "pont")], "row_id long, id string, enlabel string, rank_order int, frlabel string").write.parquet(str(tmp_path / "lexicon_base.parquet"))
+    spark.createDataFrame([(1, "pont et", "question_sets"), (2, "the old bridge", "talk"), (3, "pont", None), (4, None, "talk")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in etl_queries.text_linked_tokens(spark, str(tmp_path)).collect()), key=lambda r: r[:2])
+    assert got == [(1, 0, "pont", "word", "Q1", "question_sets"), (1, 1, "et", "word", "AND", "question_sets"), (2, 0, "the", "word", None, "talk"), (2, 1, "old bridge", "key", "Q1", "talk"), (3, 0, "pont", "word", "Q1", None)]
+
+
 @pytest.mark.parametrize("mode, extra", [(1, set()), (2, {("a", "c"), ("d", "g"), ("h", "j"), ("h", "l"), ("j", "l")})])
 def test_edges(spark, mode, extra):
     df = spark.createDataFrame([(["a", "b", "c"],), (["d", "e", "f", "g"],), (["h", "i", "j", "k", "l"],), (["a", "b", "c"],), (None,), ([],), (["z"],), (["a", None],)], "path_ids array<string>")
