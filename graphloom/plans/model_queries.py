@@ -160,7 +160,7 @@ def parse_questions(spark, d):
     lex = table(spark, d, "lexicon_base").select(F.col("frlabel").alias("named_entity"), "id", F.col("rank_order").alias("rank"))
     asked = table(spark, d, "lexicon_base").filter("frlabel IS NOT NULL AND id LIKE 'Q%'").select("row_id", F.concat(F.lit("Quel "), "frlabel", F.lit(" ?")).alias("question"))
     tokens = tokenizer.link(tokenizer.tokenize(asked, "row_id", "question", lex.filter("named_entity IS NOT NULL")), lex).withColumnRenamed("row_id", "qid")
-    return QuestionParser(width=20).predict(tokens).select("qid", "term", F.round("p", 6).alias("p"))
+    return QuestionParser().predict(tokens).select("qid", "term", F.round("p", 6).alias("p"))
 
 
 def _trees(spark, d):

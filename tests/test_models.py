@@ -8,6 +8,7 @@ from graphloom.kb import KnowledgeBase
 from graphloom.lang.shell import Shell
 from graphloom.parsing import vectors as V
 from graphloom.parsing.parser import Machine, QuestionParser, actions, answers_by_shape
+from graphloom.plans import model_queries
 from graphloom.trees import tables
 from graphloom.trees import tree as T
 
@@ -110,3 +111,14 @@ def test_shell():
     s = Shell(stdout=out)
     assert s.onecmd("(+ 1 2)") is False and s.onecmd("(define X 4)") is False and s.onecmd("(* X X)") is False and s.onecmd("(") is False and s.onecmd("quit") is True
     assert out.getvalue().splitlines()[:2] == ["3.0 : num", "16.0 : num"]
+
+
+def test_registered_parser_keeps_all_derivations(spark, tmp_path):
+    rows = [(1, "Q1", 0, "alpha"), (2, "P2", 1, "beta"), (3, "Q3", 2, "alpha,beta,alpha")]
+    spark.createDataFrame(rows, "row_id long, id string, rank_order int, frlabel string").write.parquet(str(tmp_path / "lexicon_base.parquet"))
+    asked = [("Quel", "WHQ"), ("alpha", "Q1"), (",", None), ("beta", "P2"), (",", None), ("alpha", "Q1"), ("?", None)]
+    tokens = spark.createDataFrame([(3, i, f, m) for i, (f, m) in enumerate(asked)], "qid long, pos int, form string, macro string")
+    n = {w: QuestionParser(width=w).derivations(tokens).filter("status = 'ok'").count() for w in (20, 500)}
+    p = {w: round(QuestionParser(width=w).predict(tokens).first()["p"], 6) for w in (20, 500)}
+    got = {r["qid"]: r["p"] for r in model_queries.parse_questions(spark, str(tmp_path)).collect()}
+    assert n == {20: 2, 500: 16} and got[3] == p[500] != p[20]
