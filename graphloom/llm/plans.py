@@ -71,17 +71,19 @@ def p8_room(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_drawn(spark: SparkSession, d: str) -> DataFrame:
-    """The documents drawn so that each source has its share."""
+    """The documents drawn so that each source has its share: as many tokens as all documents of the weighed sources have."""
     docs = cut(with_sizes(table(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("text_id"), "text"), "text"))
-    return mixing.mix(docs, "doc_id", "text_id", "source", "n_tokens", table(spark, d, "source_weights"))
+    weights = table(spark, d, "source_weights")
+    total = docs.join(F.broadcast(weights.select(F.col("src_name").alias("source"))), "source", "left_semi").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    return mixing.mix(docs, "doc_id", "text_id", "source", "n_tokens", weights, total=total)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and actual share of every source, and how often its documents are used at most."""
+    """Target and actual share of every source, the tokens it lacks to its target, and how often its documents are used at most."""
     drawn = p9_drawn(spark, d).groupBy("src_name").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_uses"), F.max("use_no").alias("most_uses"))
     both = cut(table(spark, d, "source_weights").join(drawn, "src_name", "left").fillna(0, ["n_tokens", "n_uses", "most_uses"]))
     total = F.lit(both.agg(F.sum("n_tokens")).first()[0])
-    return both.select("src_name", "target_share", F.round(F.try_divide(F.col("n_tokens"), total), 6).alias("actual_share"), "n_tokens", "n_uses", "most_uses", "max_repeats")
+    return both.select("src_name", "target_share", F.round(F.try_divide(F.col("n_tokens"), total), 6).alias("actual_share"), "n_tokens", F.greatest(F.lit(0), F.round(F.col("target_share") * total).cast("long") - F.col("n_tokens")).alias("shortfall"), "n_uses", "most_uses", "max_repeats")
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:

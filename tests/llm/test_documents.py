@@ -143,3 +143,33 @@ def test_bad_limits_and_sizes(spark):
         splitting.split_texts(df, "doc_id", "text", [("x", 64, 40)])
     assert [r["n_tokens"] for r in with_sizes(df, "text").orderBy("doc_id").collect()] == [0, 0, 2]
     assert splitting.split_texts(df.limit(0), "doc_id", "text", LIMITS).count() == 0
+
+
+def test_draw_of_a_set_size_takes_all_of_scarce_sources(spark):
+    rnd = random.Random(3)
+    docs = [(i, f"t{i}", rnd.choices(["a", "b"], [60, 40])[0], rnd.choice([3, 10, 900])) for i in range(3000)]
+    docs += [(9000 + i, f"c{i % 2}", "c", 50) for i in range(6)]  # copies in one source
+    df = spark.createDataFrame(docs, "doc_id long, text_id string, source string, n int")
+    w = weights(spark, [("a", 0.5, 2), ("b", 0.3, 3), ("c", 0.2, 2)])
+    total = sum(d[3] for d in docs)
+    rows = mixing.mix(df, "doc_id", "text_id", "source", "n", w, total=total).collect()
+    size, uses = Counter(), Counter()
+    for r in rows:
+        size[r["src_name"]] += r["n_tokens"]
+        uses[r["src_name"], r["doc_id"]] += 1
+    assert {k: n for k, n in uses.items() if k[0] == "c"} == {("c", 9000 + i): 2 for i in range(6)}
+    # half of the largest text at each of two ends is the most that can be missed
+    assert abs(sum(size.values()) - total) <= 900 and abs(size["a"] - (total - 600) * 5 / 8) <= 450
+    assert max(n for (s, _), n in uses.items() if s == "a") <= 2
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=3, max_size=40), st.lists(st.integers(1, 400), min_size=1, max_size=3))
+def test_filled_is_a_permutation(sizes, bounds):
+    rows, at = [], 0
+    for i, n in enumerate(sizes):
+        rows.append((at, n, i))
+        at += n
+    new = mixing._filled(rows, [b for b in bounds if b < at], 60)
+    places = sorted((new.get(i, before), n) for before, n, i in rows)
+    assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0
