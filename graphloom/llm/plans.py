@@ -36,8 +36,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose labels or id were stored without their end."""
     stats = table(spark, d, "entity_stats")
-    lists = cut_texts.cut_lists(stats, "row_id", "qlabels", "src_name", "ent_idx").withColumn("field_name", F.lit("qlabels"))
-    return lists.unionByName(cut_texts.cut_codes(stats, "row_id", "ent_idx").withColumn("field_name", F.lit("ent_idx")))
+    lex = table(spark, d, "lexicon_base")
+    languages = lex.select(F.col("enlabel").alias("value"), F.lit("en").alias("lang")).unionByName(lex.select(F.col("frlabel").alias("value"), F.lit("fr").alias("lang")))
+    codes = cut(cut_texts.cut_codes(stats, "row_id", "ent_idx"))
+    lists = cut_texts.cut_lists(stats, "row_id", "qlabels", "src_name", "ent_idx", codes, languages)
+    return lists.withColumn("field_name", F.lit("qlabels")).unionByName(codes.withColumn("field_name", F.lit("ent_idx")))
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
