@@ -18,20 +18,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.nested import strings
-from graphloom.session import cut
+from graphloom.session import cut, drop
 
 #: Marks that separate wherever they stand outside quotes; a bare slash or a comma has to earn it.
 STRONG = ";；|•\t\n\r"
 KINDS = (",", "/")
-#: Most sites that one arc of a lattice spans, besides the arc over all of them.
-SPAN = 4
 #: How often a bare slash and a comma separate before anything is seen, and how many sites that view weighs.
 PRIOR, PRIOR_SITES = {",": 0.9, "/": 0.05}, 50
-#: Rounds of expectation-maximisation before the Viterbi pass.
-ROUNDS = 2
+#: Expectation-maximisation goes on until the likelihood of a site changes by less than this (in log), or so many rounds.
+SETTLED, ROUNDS = 1e-3, 50
 #: Characters a label is made of, for the probability of one never seen.
 LETTERS = 28
 
+_STRONG_RUN = re.compile(f"[{re.escape(STRONG)}]")
 _ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|.)", re.S)
 _PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
@@ -100,6 +99,8 @@ def blocks(text: str) -> tuple[list[tuple[list[str], list[str]]], bool]:
     A lattice is (parts, gaps): the text of a gap stands between two parts and may separate them. One without
     gaps is a value for certain. Blanks around values are gone, empty values too.
     """
+    if not ("," in text or "/" in text or '"' in text or "\\" in text or "[" in text):
+        return [([v.strip()], []) for v in _STRONG_RUN.split(text) if v.strip()], False
     got = _json_array(text.strip())
     if got is not None:
         return [([v.strip()], []) for v in got[0] if v.strip()], got[1]
@@ -157,58 +158,77 @@ def blocks(text: str) -> tuple[list[tuple[list[str], list[str]]], bool]:
     return out, is_open
 
 
-def _arcs(n: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(n) for j in range(i + 1, n + 1) if j - i <= SPAN + 1 or (i == 0 and j == n)]
-
-
 def _value(parts: list[str], gaps: list[str], i: int, j: int) -> str:
     return "".join(p + g for p, g in zip(parts[i : j - 1], gaps[i : j - 1])) + parts[j - 1]
 
 
-def _unseen(part: str) -> float:
-    return -(len(part) + 1) * math.log(LETTERS)
-
-
-def _weights(parts, gaps, counts: dict, total: float, new: float, rates: dict) -> dict[tuple[int, int], float]:
-    """Log weight of every arc: the value's share in the column, or a new value put together from its
-    parts, with the sites inside not separating and the one after it separating."""
-    n = len(parts)
-    single = [math.log((1 - new) * counts.get((i, i + 1), 0) / total + new * math.exp(max(-700, _unseen(parts[i]))) + 1e-300) for i in range(n)]
-    cut_at = [math.log(rates[g.strip()]) for g in gaps] + [0.0]
-    keep = [math.log(1 - rates[g.strip()]) for g in gaps]
-    out = {}
-    for i, j in _arcs(n):
-        known = counts.get((i, j), 0)
-        w = sum(single[i:j])
-        if j - i > 1 and known > 0:
-            w = max(w, math.log((1 - new) * known / total))
-        out[i, j] = w + sum(keep[i : j - 1]) + cut_at[j - 1]
-    return out
-
-
-def _lse(xs: list[float]) -> float:
-    m = max(xs)
-    return m + math.log(sum(math.exp(x - m) for x in xs))
-
-
-def _posterior(n: int, w: dict) -> dict[tuple[int, int], float]:
-    ahead, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-    for j in range(1, n + 1):
-        ahead[j] = _lse([ahead[a] + x for (a, b), x in w.items() if b == j])
-    for i in range(n - 1, -1, -1):
-        back[i] = _lse([back[b] + x for (a, b), x in w.items() if a == i])
-    return {(i, j): math.exp(ahead[i] + x + back[j] - ahead[n]) for (i, j), x in w.items()}
-
-
-def _viterbi(n: int, w: dict) -> list[tuple[int, int]]:
-    best: list[tuple[float, int]] = [(0.0, -1)] + [(-math.inf, -1)] * n
-    for j in range(1, n + 1):
-        best[j] = max((best[a][0] + x, a) for (a, b), x in w.items() if b == j)
-    path, j = [], n
-    while j:
-        path.append((best[j][1], j))
-        j = best[j][1]
-    return path[::-1]
+def _add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+class Lattice:
+    """The log weights of one lattice: parts with what they are worth as values, sites that separate or not, and
+    values known to hold sites. A new value of any length is put together from its parts and sites."""
+
+    def __init__(self, arcs: list[dict], total: float, new: float, rates: dict) -> None:
+        single = sorted((x for x in arcs if x["j"] == x["i"] + 1), key=lambda x: x["i"])
+        self.arcs = single
+        self.n = n = len(single)
+        unseen = [-(len(x["label_value"]) + 1) * math.log(LETTERS) for x in single]
+        self.single = [math.log((1 - new) * max(x["c"], 0.0) / total + new * math.exp(max(-700, u)) + 1e-300) for x, u in zip(single, unseen)]
+        self.marks = [x["gap"].strip() for x in single[:-1]]
+        self.cuts = [math.log(rates[m]) for m in self.marks] + [0.0]
+        self.keeps = [math.log(1 - rates[m]) for m in self.marks]
+        self.ends: list[list[tuple[int, float, dict]]] = [[] for _ in range(n + 1)]
+        self.begins: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        for x in arcs:
+            i, j = x["i"], x["j"]
+            if j - i > 1 and x["c"] > 1e-6:
+                w = math.log((1 - new) * x["c"] / total) + sum(self.keeps[i : j - 1]) + self.cuts[j - 1]
+                self.ends[j].append((i, w, x))
+                self.begins[i].append((j, w))
+
+    def posterior(self) -> tuple[float, list[float], list[float]]:
+        """The log likelihood, how surely each part is a value of its own, and each site separates."""
+        n, none = self.n, -math.inf
+        ahead, inside = [0.0] + [none] * n, [none] * (n + 1)
+        for j in range(1, n + 1):
+            inside[j] = self.single[j - 1] + (_add(ahead[j - 1], inside[j - 1] + self.keeps[j - 2]) if j > 1 else 0.0)
+            ahead[j] = inside[j] + self.cuts[j - 1]
+            for i, w, _ in self.ends[j]:
+                ahead[j] = _add(ahead[j], ahead[i] + w)
+        back, later = [none] * n + [0.0], [none] * n + [0.0]
+        for j in range(n - 1, -1, -1):
+            back[j] = self.single[j] + later[j + 1]
+            for e, w in self.begins[j]:
+                back[j] = _add(back[j], w + back[e])
+            if j:
+                later[j] = _add(self.cuts[j - 1] + back[j], self.keeps[j - 1] + self.single[j] + later[j + 1])
+        whole = ahead[n]
+        own = [math.exp(min(0.0, ahead[i] + self.single[i] + self.cuts[i] + back[i + 1] - whole)) for i in range(n)]
+        return whole, own, [math.exp(min(0.0, ahead[j] + back[j] - whole)) for j in range(1, n)]
+
+    def best(self) -> list[tuple[int, int]]:
+        """The likeliest values, as (first part, end)."""
+        n, none = self.n, -math.inf
+        cut_at: list[tuple[float, int]] = [(0.0, 0)] + [(none, 0)] * n
+        inside: list[tuple[float, int]] = [(none, 0)] * (n + 1)  # weight, where the value began
+        for j in range(1, n + 1):
+            inside[j] = (cut_at[j - 1][0] + self.single[j - 1], j - 1)
+            if j > 1:
+                on = inside[j - 1][0] + self.keeps[j - 2] + self.single[j - 1]
+                inside[j] = max(inside[j], (on, inside[j - 1][1]))
+            cut_at[j] = max([(inside[j][0] + self.cuts[j - 1], inside[j][1]), *((cut_at[i][0] + w, i) for i, w, _ in self.ends[j])])
+        path, j = [], n
+        while j:
+            path.append((cut_at[j][1], j))
+            j = cut_at[j][1]
+        return path[::-1]
+
+    def value(self, i: int, j: int) -> str:
+        return "".join(x["label_value"] + x["gap"] for x in self.arcs[i : j - 1]) + self.arcs[j - 1]["label_value"]
 
 
 def _is(mark: str):
@@ -256,57 +276,71 @@ def split_packed(df: DataFrame, key: str, text: str) -> DataFrame:
     done = sure.filter(~F.col("many")).select(F.col("k").alias(key), F.col("blk").alias("pos"), "label_value", "is_last", "is_open")
 
     # what arrays tell of marks inside labels, against what is met outside: how often each kind separates
-    inside = [F.sum(F.when(F.col("atomic"), F.size(F.split("label_value", m)) - 1).otherwise(0)).alias(f"in{i}") for i, m in enumerate(KINDS)]
-    seen = sure.agg(F.sum(F.col("atomic").cast("long")).alias("arrays"), F.count("*").alias("n"), *inside).first()
-    sites = open_units.agg(*(F.sum(F.size(F.filter("gaps", _is(m)))).alias(f"s{i}") for i, m in enumerate(KINDS)),
-                           *(F.sum(F.when(F.exists("gaps", _is(m)), F.size("parts")).otherwise(0)).alias(f"p{i}") for i, m in enumerate(KINDS)), F.count("*").alias("n")).first()
-    if not sites["n"]:
+    single, label = F.size("gaps") == 0, F.element_at("parts", 1)
+    each = lambda cond, x: F.coalesce(F.sum(F.when(cond, x)), F.lit(0))
+    marks = F.length(F.regexp_replace(label, "[^,/]", ""))
+    seen = units.agg(
+        each(single & F.col("atomic"), 1).alias("arrays"), each(single, 1).alias("n"), each(~single, 1).alias("lattices"), F.collect_set(F.when(single & (marks > 0), marks)).alias("spans"),
+        *(each(single & F.col("atomic"), F.size(F.split(label, m)) - 1).alias(f"in{i}") for i, m in enumerate(KINDS)),
+        *(each(~single, F.size(F.filter("gaps", _is(m)))).alias(f"s{i}") for i, m in enumerate(KINDS)),
+        *(each(~single & F.exists("gaps", _is(m)), F.size("parts")).alias(f"p{i}") for i, m in enumerate(KINDS))).first()
+    if not seen["lattices"]:
         return done
     rates = {}
     for i, m in enumerate(KINDS):
-        per_label = (seen[f"in{i}"] or 0) / max(1, seen["arrays"] or 0)
+        per_label = seen[f"in{i}"] / max(1, seen["arrays"])
         # a slash stands in labels of any row, a comma's rows have no other mark: their own parts count
-        labels = (seen["n"] or 0) + (sites[f"p{i}"] or 0) if m == "/" else sites[f"p{i}"] or 0
-        met = sites[f"s{i}"] or 0
-        sure_of = min(met, seen["arrays"] or 0)
+        labels = seen["n"] + seen[f"p{i}"] if m == "/" else seen[f"p{i}"]
+        met = seen[f"s{i}"]
+        sure_of = min(met, seen["arrays"])
         guess = min(0.95, max(0.05, 1 - per_label * labels / max(1, met)))
         rates[m] = (PRIOR[m] * PRIOR_SITES + guess * sure_of) / (PRIOR_SITES + sure_of)
-
-    values = sure.groupBy("label_value").agg(F.count("*").cast("double").alias("c"))
-    once = values.agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once")).first()
-    total = float((once["total"] or 0) + sites["n"] or 1)
-    new = min(0.9, max(0.05, (once["once"] or 0) / total))
+    spans = sorted(seen["spans"])
 
     def arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"k": [], "blk": [], "i": [], "j": [], "label_value": []}
+            out: dict[str, list] = {"k": [], "blk": [], "i": [], "j": [], "label_value": [], "gap": []}
             for k, b, parts, gaps in zip(*(batch.column(c).to_pylist() for c in ("k", "blk", "parts", "gaps"))):
-                for i, j in _arcs(len(parts)):
-                    for c, v in zip(out, (k, b, i, j, _value(parts, gaps, i, j))):
+                n = len(parts)
+                for i in range(n):
+                    for c, v in zip(out, (k, b, i, i + 1, parts[i], gaps[i] if i < n - 1 else "")):
                         out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["k"], pa.int64()), *(pa.array(out[c], pa.int32()) for c in ("blk", "i", "j")), strings(out["label_value"])], names=list(out))
-
-    lattice = cut(open_units.select("k", "blk", "parts", "gaps").mapInArrow(arcs, "k long, blk int, i int, j int, label_value string"))
-    expected = None
+                    for s in spans:  # no value known for certain has any other number of sites
+                        if i + s + 1 > n:
+                            break
+                        for c, v in zip(out, (k, b, i, i + s + 1, _value(parts, gaps, i, i + s + 1), "")):
+                            out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["k"], pa.int64()), *(pa.array(out[c], pa.int32()) for c in ("blk", "i", "j")), strings(out["label_value"]), strings(out["gap"])], names=list(out))
+
+    values = sure.groupBy("label_value").agg(F.count("*").cast("double").alias("c0"))
+    values = cut(values)
+    once = values.agg(F.sum("c0").alias("total"), F.sum(F.when(F.col("c0") == 1, 1).otherwise(0)).alias("once")).first()
+    total = float((once["total"] or 0) + seen["lattices"] or 1)
+    new = min(0.9, max(0.05, (once["once"] or 0) / total))
+    found = open_units.select("k", "blk", "parts", "gaps").mapInArrow(arcs, "k long, blk int, i int, j int, label_value string, gap string")
+    # values known for certain are looked up once; from then on the lattices' own arcs are all that is read
+    post = cut(found.join(values, "label_value", "left").filter("j - i = 1 OR c0 IS NOT NULL").select("k", "blk", "i", "j", "label_value", "gap", F.coalesce("c0", F.lit(0.0)).alias("c0"), F.lit(0.0).alias("post"), F.lit(None).cast("string").alias("mark"), F.lit(0.0).alias("cuts"), F.lit(0.0).alias("sites"), F.lit(0.0).alias("likely")))
+    drop(values)
+    likely = None
     for turn in range(ROUNDS + 1):
-        known = values
-        if expected is not None:
-            known = values.unionByName(expected.groupBy("label_value").agg(F.sum("post").alias("c"))).groupBy("label_value").agg(F.sum("c").alias("c"))
-            own = post.filter("mark IS NULL").withColumn("post", F.when(F.col("j") - F.col("i") == 1, F.col("post")).otherwise(0.0)).select("k", "blk", "i", "j", "label_value", "post")
-        else:
-            own = lattice.withColumn("post", F.lit(0.0))
-        # an arc's own share of the count says nothing about it
-        looked = own.join(known, "label_value", "left").withColumn("c", F.greatest(F.coalesce("c", F.lit(0.0)) - F.col("post"), F.lit(0.0)))
-        per = looked.filter("c > 1e-6").groupBy("k", "blk").agg(F.collect_list(F.struct("i", "j", "c")).alias("known"))
-        per = open_units.select("k", "blk", "parts", "gaps").join(per, ["k", "blk"], "left")
-        if turn < ROUNDS:
-            post = cut(per.mapInArrow(_estimate(dict(rates), total, new), "k long, blk int, i int, j int, label_value string, post double, mark string, cuts double, sites double"))
-            met = {r["mark"]: (r["cuts"], r["sites"]) for r in post.filter("mark IS NOT NULL").groupBy("mark").agg(F.sum("cuts").alias("cuts"), F.sum("sites").alias("sites")).collect()}
-            rates |= {m: min(0.999, max(0.001, (c + PRIOR[m] * PRIOR_SITES) / (s + PRIOR_SITES))) for m, (c, s) in met.items()}
+        own = post.filter("mark IS NULL")
+        arc = lambda c: F.struct("i", "j", "label_value", "gap", "c0", c.alias("c"))
+        if turn:
             # a span over sites counts where it was seen for certain: repeated rows would vouch for each other
-            expected = post.filter("mark IS NULL AND j - i = 1")
+            met = own.filter("post > 0").groupBy(F.col("label_value").alias("v")).agg(F.sum("post").alias("more"))
+            own = own.join(met, F.col("label_value") == F.col("v"), "left")
+            # an arc's own share of the count says nothing about it
+            rows = own.groupBy("k", "blk").agg(F.collect_list(arc(F.col("c0") + F.coalesce("more", F.lit(0.0)) - F.col("post"))).alias("arcs"))
         else:
-            best = per.mapInArrow(_best(dict(rates), total, new), "k long, blk int, i int, label_value string, ends boolean")
+            rows = own.groupBy("k", "blk").agg(F.collect_list(arc(F.col("c0"))).alias("arcs"))
+        if turn == ROUNDS or likely is not None and likely[1] - likely[0] < SETTLED:
+            break
+        post = cut(rows.mapInArrow(_estimate(dict(rates), total, new), post.schema), post)
+        marks = post.filter("mark IS NOT NULL").groupBy("mark").agg(F.sum("cuts").alias("cuts"), F.sum("sites").alias("sites"), F.sum("likely").alias("likely")).collect()
+        rates |= {r["mark"]: min(0.999, max(0.001, (r["cuts"] + PRIOR[r["mark"]] * PRIOR_SITES) / (r["sites"] + PRIOR_SITES))) for r in marks if r["mark"]}
+        now = sum(r["likely"] for r in marks) / max(1, sum(r["sites"] for r in marks))
+        likely = (likely[1] if likely else -math.inf, now)
+    best = rows.mapInArrow(_best(dict(rates), total, new), "k long, blk int, i int, label_value string, ends boolean")
     # rows with a lattice: their certain values and the chosen arcs, in order
     flags = open_units.select("k", "blk", "is_last", "is_open")
     chosen = best.join(flags, ["k", "blk"]).select("k", "blk", "i", "label_value", (F.col("is_last") & F.col("ends")).alias("is_last"), (F.col("is_open") & F.col("ends")).alias("is_open"))
@@ -318,23 +352,26 @@ def split_packed(df: DataFrame, key: str, text: str) -> DataFrame:
 def _estimate(rates: dict, total: float, new: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("k", "blk", "i", "j", "label_value", "post", "mark", "cuts", "sites")}
-            cuts, sites = Counter(), Counter()
-            for k, b, parts, gaps, known in zip(*(batch.column(c).to_pylist() for c in ("k", "blk", "parts", "gaps", "known"))):
-                w = _weights(parts, gaps, {(x["i"], x["j"]): x["c"] for x in known or ()}, total, new, rates)
-                for (i, j), p in _posterior(len(parts), w).items():
-                    for c, v in zip(out, (k, b, i, j, _value(parts, gaps, i, j), p, None, None, None)):
+            out: dict[str, list] = {c: [] for c in ("k", "blk", "i", "j", "label_value", "gap", "c0", "post", "mark", "cuts", "sites", "likely")}
+            cuts, sites, likely = Counter(), Counter(), 0.0
+            for k, b, arcs in zip(*(batch.column(c).to_pylist() for c in ("k", "blk", "arcs"))):
+                lattice = Lattice(arcs, total, new, rates)
+                w, own, at = lattice.posterior()
+                likely += w
+                known = [x for e in lattice.ends for *_, x in e]
+                for x, p in [*zip(lattice.arcs, own), *((x, 0.0) for x in known)]:
+                    for c, v in zip(out, (k, b, x["i"], x["j"], x["label_value"], x["gap"], x["c0"], p, None, 0.0, 0.0, 0.0)):
                         out[c].append(v)
-                    if j <= len(gaps):
-                        cuts[gaps[j - 1].strip()] += p
-                for g in gaps:
-                    sites[g.strip()] += 1
+                for m, p in zip(lattice.marks, at):
+                    cuts[m] += p
+                    sites[m] += 1
             for m, s in sites.items():
-                for c, v in zip(out, (None, None, None, None, None, None, m, cuts[m], s)):
+                for c, v in zip(out, (None, None, None, None, None, None, None, None, m, cuts[m], s, likely)):
                     out[c].append(v)
+                likely = 0.0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["k"], pa.int64()), *(pa.array(out[c], pa.int32()) for c in ("blk", "i", "j")), strings(out["label_value"]), pa.array(out["post"], pa.float64()),
-                 strings(out["mark"]), pa.array(out["cuts"], pa.float64()), pa.array(out["sites"], pa.float64())], names=list(out))
+                [pa.array(out["k"], pa.int64()), *(pa.array(out[c], pa.int32()) for c in ("blk", "i", "j")), strings(out["label_value"]), strings(out["gap"]), *(pa.array(out[c], pa.float64()) for c in ("c0", "post")),
+                 strings(out["mark"]), *(pa.array(out[c], pa.float64()) for c in ("cuts", "sites", "likely"))], names=list(out))
 
     return run
 
@@ -343,10 +380,10 @@ def _best(rates: dict, total: float, new: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("k", "blk", "i", "label_value", "ends")}
-            for k, b, parts, gaps, known in zip(*(batch.column(c).to_pylist() for c in ("k", "blk", "parts", "gaps", "known"))):
-                n = len(parts)
-                for i, j in _viterbi(n, _weights(parts, gaps, {(x["i"], x["j"]): x["c"] for x in known or ()}, total, new, rates)):
-                    for c, v in zip(out, (k, b, i, _value(parts, gaps, i, j), j == n)):
+            for k, b, arcs in zip(*(batch.column(c).to_pylist() for c in ("k", "blk", "arcs"))):
+                lattice = Lattice(arcs, total, new, rates)
+                for i, j in lattice.best():
+                    for c, v in zip(out, (k, b, i, lattice.value(i, j), j == lattice.n)):
                         out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["k"], pa.int64()), pa.array(out["blk"], pa.int32()), pa.array(out["i"], pa.int32()), strings(out["label_value"]), pa.array(out["ends"], pa.bool_())], names=list(out))
 

@@ -36,3 +36,44 @@ def test_many_commas_and_known_values(spark):
 @pytest.mark.parametrize("text", ["\\", '"', '""', '"""', "[", '["', "[]", "[1, null]", "\\;", '"a"b', "/", ",", " / ", 'a "b" c'])
 def test_odd_texts_do_not_crash(text):
     blocks(text)
+
+
+def test_values_with_many_inner_marks(spark):
+    # seven sites inside one value, known from quoted rows: more than any span set beforehand
+    one = "rue A, bât. B, esc. C, porte D, lieu E, ville F, pays G, monde H"
+    rows = [(i, f'"{one}"; x{i}', "", "") for i in range(30)] + [(100, f"début, {one}, fin", "", ""), (101, one, "", "")]
+    got = split(spark, rows)
+    assert got[100] == ["début", one, "fin"] and got[101] == [one]
+
+
+def test_lattice_against_all_paths():
+    import itertools
+    import math
+
+    from graphloom.operators.packed import Lattice
+
+    parts, gaps = ["ab", "c", "de", "f"], [", ", "/", ","]
+    arcs = [{"i": i, "j": i + 1, "label_value": p, "gap": g, "c": c} for i, (p, g, c) in enumerate(zip(parts, gaps + [""], [5.0, 0.0, 2.0, 9.0]))]
+    arcs.append({"i": 1, "j": 3, "label_value": "c/de", "gap": "", "c": 4.0})
+    lattice = Lattice(arcs, 50.0, 0.2, {",": 0.8, "/": 0.1})
+    paths = []
+    for on in itertools.product([0, 1], repeat=3):
+        w, start = 0.0, 0
+        spans = []
+        for j, x in enumerate([*on, 1]):
+            if x:
+                spans.append((start, j + 1))
+                start = j + 1
+        for use in itertools.product([0, 1], repeat=len(spans)):
+            if any(u and s != (1, 3) for u, s in zip(use, spans)):
+                continue
+            w = sum(math.log(0.8 * 4 / 50) if u else sum(lattice.single[i:j]) for u, (i, j) in zip(use, spans))
+            w += sum(lattice.cuts[g] if x else lattice.keeps[g] for g, x in enumerate(on))
+            paths.append((w, spans, on))
+    total = math.log(sum(math.exp(w) for w, *_ in paths))
+    whole, own, at = lattice.posterior()
+    assert abs(whole - total) < 1e-9 and lattice.best() == max(paths)[1]
+    for g in range(3):
+        assert abs(at[g] - sum(math.exp(w - total) for w, _, on in paths if on[g])) < 1e-9
+    for i in range(4):
+        assert abs(own[i] - sum(math.exp(w - total) for w, spans, _ in paths if (i, i + 1) in spans)) < 1e-9
