@@ -37,7 +37,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-5, c
     """(id, score), scores summing to 1. The score of nodes without outgoing edges goes to all alike.
 
     Stops when the scores change by less than `tolerance` in all, looked at every `check_every` rounds, or after exactly
-    `rounds`. A hot target is pre-aggregated before the shuffle, a hot source is what adaptive execution splits in the
+    `rounds`; scores that haven't settled after max_rounds are an error. A hot target is pre-aggregated before the shuffle, a hot source is what adaptive execution splits in the
     join; each round's scores are kept in the shared folder and the round before's removed.
     """
     e = edges.select(F.col("src").alias("s"), F.col("dst").alias("d")).filter("s IS NOT NULL AND d IS NOT NULL").distinct()
@@ -60,6 +60,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-5, c
             moved = scores.join(old.select(F.col("id").alias("__i"), F.col("score").alias("__o")), F.col("id") == F.col("__i")).agg(F.sum(F.abs(F.col("score") - F.col("__o")))).first()[0]
             if moved < tolerance:
                 break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"scores still change by {tolerance} or more after {max_rounds} rounds")
     return scores.select("id", "score")
 
 

@@ -8,7 +8,9 @@ tables need no generated keys; nodes of one schema path make one table.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,12 +42,124 @@ def read_object(line: str | None) -> dict | None:
     if not line.lstrip().startswith("{"):
         return None
     try:
-        value = json.loads(line)
-    except (ValueError, RecursionError):
+        value = loads(line)
+    except ValueError:
         return None
     return value if isinstance(value, dict) else None
 
 
+_BLANKS = re.compile(r"[ \t\n\r]*")
+_ATOM = re.compile(r"(-?(?:0|[1-9][0-9]*))(\.[0-9]+)?([eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity")
+_NAMED = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
+def loads(text: str):
+    """json.loads at any depth: what is nested too deeply for recursion is read with a stack of our own."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _deep_loads(text)
+
+
+def _deep_loads(text: str):
+    stack: list = []  # open arrays and objects
+    names: list[str | None] = []  # of each object the field that waits for its value
+    at, n = _BLANKS.match(text, 0).end(), len(text)
+    while True:
+        # a value, or the end of an empty array
+        c = text[at : at + 1]
+        if c in "[{" and c:
+            stack.append([] if c == "[" else {})
+            names.append(None)
+            at = _BLANKS.match(text, at + 1).end()
+            if text[at : at + 1] != ("]" if c == "[" else "}"):
+                if c == "{":
+                    at = _name(text, at, names)
+                continue
+            at += 1
+            value = stack.pop()
+            names.pop()
+        elif c == '"':
+            value, at = scanstring(text, at + 1)
+        else:
+            m = _ATOM.match(text, at)
+            if not m:
+                raise ValueError(f"no value at {at}")
+            at = m.end()
+            value = _NAMED[m.group()] if m.group() in _NAMED else float(m.group()) if m.group(2) or m.group(3) else int(m.group())
+        # what it belongs to, and all that ends with it
+        while True:
+            at = _BLANKS.match(text, at).end()
+            if not stack:
+                if at != n:
+                    raise ValueError(f"more at {at}")
+                return value
+            if isinstance(stack[-1], list):
+                stack[-1].append(value)
+            else:
+                stack[-1][names[-1]] = value
+            c = text[at : at + 1]
+            at += 1
+            if c == ",":
+                at = _BLANKS.match(text, at).end()
+                if isinstance(stack[-1], dict):
+                    at = _name(text, at, names)
+                break
+            if c != ("]" if isinstance(stack[-1], list) else "}"):
+                raise ValueError(f"neither comma nor end at {at - 1}")
+            value = stack.pop()
+            names.pop()
+
+
+def _name(text: str, at: int, names: list[str | None]) -> int:
+    """Where the value of the field named at `at` begins."""
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no name at {at}")
+    names[-1], at = scanstring(text, at + 1)
+    at = _BLANKS.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    return _BLANKS.match(text, at + 1).end()
+
+
+def dumps(value) -> str:
+    """json.dumps at any depth, other than ASCII as it is."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list = [value]
+    held = object()  # before a piece of text that is written as it stands
+    while todo:
+        x = todo.pop()
+        if x is held:
+            out.append(todo.pop())
+        elif isinstance(x, dict):
+            parts: list = [held, "{"]
+            for i, (k, v) in enumerate(x.items()):
+                parts += [held, (", " if i else "") + json.dumps(k, ensure_ascii=False) + ": ", v]
+            todo += _backwards([*parts, held, "}"], held)
+        elif isinstance(x, list):
+            parts = [held, "["]
+            for i, v in enumerate(x):
+                parts += [held, ", ", v] if i else [v]
+            todo += _backwards([*parts, held, "]"], held)
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
+def _backwards(parts: list, held: object) -> list:
+    """parts in the order in which a stack gives them back, a mark before its text."""
+    out, i = [], 0
+    while i < len(parts):
+        step = 2 if parts[i] is held else 1
+        out.append(parts[i : i + step][::-1])
+        i += step
+    return [x for group in out[::-1] for x in group]
+
+
 def _trie(paths: Sequence[str]) -> tuple:
     """(index of the path that ends here or -1, [(step, ordinal, child)])."""
     root: list = [-1, {}]
@@ -88,7 +202,7 @@ def strings(values: list) -> pa.Array:
 
 
 def _text(value) -> str | None:
-    return value if isinstance(value, str) or value is None else json.dumps(value, ensure_ascii=False)
+    return value if isinstance(value, str) or value is None else dumps(value)
 
 
 def shred(df: DataFrame, key: str, line: str, paths: Sequence[str], carry: Sequence[str] = (), values: bool = False) -> DataFrame:

@@ -7,7 +7,6 @@ value occurs and how often each kind of site separates; the Viterbi path through
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections import Counter
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.nested import strings
+from graphloom.operators.nested import dumps, loads, strings
 from graphloom.session import cut, drop
 
 #: Marks that separate wherever they stand outside quotes; a bare slash or a comma has to earn it.
@@ -48,9 +47,9 @@ def _json_array(text: str) -> tuple[list[str], bool] | None:
     if not text.startswith("["):
         return None
     try:
-        got = json.loads(text)
-        return [x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in got if x is not None], False
-    except (ValueError, RecursionError):
+        got = loads(text)
+        return [x if isinstance(x, str) else dumps(x) for x in got if x is not None], False
+    except ValueError:
         pass
     out, at, n = [], 1, len(text)
     while at < n and text[at] in " \t\r\n,":

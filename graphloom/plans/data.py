@@ -41,9 +41,7 @@ def orphan_references(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "id_log").withColumn("id", bare_id("id"))
     lives = cut(references.lifetimes(log, "id", "act", "logged_at", "log_id").withColumnRenamed("id", "ref_id"))
     # the fixed table goes first: it takes out the ids that most rows refer to, before anything is shuffled
-    if small_enough(core, BROADCAST_ROWS):
-        core = F.broadcast(core)
-    rest = cut(references.orphans(references_at(spark, d), core, ["ref_id"], "simple", "at", "since", "until"))
+    rest = cut(references.orphans(references_at(spark, d), core, ["ref_id"], "simple", "at", "since", "until", small=small_enough(core, BROADCAST_ROWS)))
     return references.orphans(rest, lives, ["ref_id"], "simple", "at", "since", "until")
 
 

@@ -46,3 +46,22 @@ def test_parent_links_by_truncation(spark):
     quals = tables["claims.*[].qualifiers.*[]"].withColumn("parent", nested.parent_label(F.col("dewey"), 3))
     assert {(r["prop"], r["id"]) for r in quals.join(claims, "parent").collect()} == {("P31", "Q1")}
     assert json.loads(tables["labels.*"].first()["node_value"]) == {"value": "a"}
+
+
+def test_any_depth(spark):
+    from graphloom.operators.nested import _deep_loads, dumps, loads
+
+    for text in ('{"a": [1, -2.5e3, "x\\u00e9", true, null, {}, [], {"b": {"c": []}}], "d": ""}', ' [ ] ', '"x"', "12", '{"a":1,"a":2}'):
+        assert _deep_loads(text) == json.loads(text) and json.loads(dumps(_deep_loads(text))) == json.loads(text)
+    for bad in ("", "[1,]", "{", "[", "[1 2]", '{"a" 1}', '{"a":1,}', "[1]]", "tru", "01", '{a:1}', '"x'):
+        try:
+            _deep_loads(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    deep = "[" * 20000 + "]" * 20000
+    assert dumps(loads(deep)).replace(" ", "") == deep
+    line = '{"id": "Q1", "labels": {"fr": {"value": "x"}}, "extra": ' + '{"a":' * 20000 + "1" + "}" * 20000 + "},"
+    df = spark.createDataFrame([(1, line)], "line_no long, line string")
+    got = nested.shred(df, "line_no", "line", ["labels.*", "extra"], values=True).collect()
+    assert {r["node_path"] for r in got} == {"labels.*", "extra"} and max(len(r["node_value"]) for r in got) > 100000

@@ -43,3 +43,20 @@ def test_no_keys_and_bare_ids(spark):
     refs = spark.createDataFrame([(1, "a"), (2, None)], "n long, k string")
     assert [r["n"] for r in references.orphans(refs, keys, ["k"]).collect()] == [1]
     assert [bare_text(x) for x in (" wd:q12 ", "kg/entity/Q1", "", None, "x:")] == ["Q12", "Q1", None, None, None]
+
+
+def test_hot_key_in_time_against_all_pairs(spark):
+    import random
+
+    rnd = random.Random(7)
+    lives = []
+    for i in range(600):
+        a = rnd.randint(0, 4000)
+        lives.append((rnd.choice(["hot", "hot", "a", "b", None]), t(0, 0) + dt.timedelta(hours=a), None if rnd.random() < 0.02 else t(0) + dt.timedelta(hours=a + rnd.randint(1, 30))))
+    refs = [(i, rnd.choice(["hot", "hot", "a", "b", "none", None]), t(0) + dt.timedelta(hours=rnd.randint(-50, 4100)), "x") for i in range(1500)]
+    keys = spark.createDataFrame(lives, "k string, since timestamp, until timestamp")
+    df = spark.createDataFrame(refs, "n long, k string, at timestamp, until string")
+    want = sorted(n for n, k, at, _ in refs if k is not None and not any(k == kk and a <= at and (b is None or at < b) for kk, a, b in lives if kk))
+    for small in (False, True):
+        got = references.orphans(df.withColumnRenamed("until", "other"), keys, ["k"], "simple", "at", "since", "until", small=small)
+        assert got.columns == ["n", "k", "at", "other"] and sorted(r["n"] for r in got.collect()) == want
