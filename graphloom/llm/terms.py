@@ -2,7 +2,8 @@
 
 Terms are counted inside each task first. The partial counts are parted by the bits of a hash; parts that
 are too large are split by further bits until each fits; DuckDB then adds up each part on its own, out
-of core. No dictionary of all terms exists anywhere.
+of core. A part that no bits split holds one hot term's counts: those are added up in every task first. No dictionary of all
+terms exists anywhere.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ HELD = 200_000
 BITS, DEPTH = 12, 4
 #: Partial counts that one part may hold.
 PART_ROWS = 2_000_000
-#: Memory of one DuckDB, beyond which it writes to disk.
-PART_MEMORY = "256MB"
+#: Memory of one DuckDB, beyond which it writes to the shared folder; where that is no mounted one it has nowhere to write.
+PART_MEMORY, UNMOUNTED_MEMORY = "256MB", "1GB"
+#: Bytes of a term that count as one partial count more.
+LONG_TERM = 64
 
 
 def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,28 +76,27 @@ def _split(sizes: dict[int, int], bits: int, limit: int, prefix: int = 0, used:
 
 
 def _radix(counts: DataFrame, limit: int) -> tuple[DataFrame, int]:
-    """counts with the number of the part of each row, and how many parts there are."""
+    """counts with the number of the part of each row, and how many parts there are; -1 where all bits are alike and still too many."""
     digit = lambda level: F.shiftrightunsigned(F.col("h"), 64 - BITS * (level + 1)).bitwiseAND((1 << BITS) - 1)
     n = 0
 
     def level_part(rows: DataFrame, level: int) -> Column:
         nonlocal n
-        sizes = {r["d"]: r["count"] for r in rows.groupBy(digit(level).cast("int").alias("d")).count().collect()}  # 2^BITS rows at most
+        sizes = {r["d"]: r["size"] for r in rows.groupBy(digit(level).cast("int").alias("d")).agg(F.sum("size").alias("size")).collect()}  # 2^BITS rows at most
         parts, large = _split(sizes, BITS, limit)
-        if level == DEPTH - 1:
-            parts, large = parts + [(p, BITS) for p in large], []
-        place = [0] * (1 << BITS)
+        place = [-1] * (1 << BITS)
         for prefix, used in parts:
             for h in range(prefix << (BITS - used), (prefix + 1) << (BITS - used)):
                 place[h] = n
             n += 1
         out = F.element_at(F.lit(place), digit(level).cast("int") + 1)
-        for p in large:
-            out = F.when(digit(level) == p, level_part(rows.filter(digit(level) == p), level + 1)).otherwise(out)
+        if level < DEPTH - 1:
+            for p in large:
+                out = F.when(digit(level) == p, level_part(rows.filter(digit(level) == p), level + 1)).otherwise(out)
         return out
 
     part = level_part(counts, 0)
-    return counts.withColumn("part", part), n
+    return counts.withColumn("part", part.cast("int")), n
 
 
 def _adder(spill: str | None):
@@ -104,9 +106,9 @@ def _adder(spill: str | None):
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        settings = {"memory_limit": PART_MEMORY, "threads": 1, "preserve_insertion_order": False}
-        if spill:
-            settings["temp_directory"] = f"{spill}/{uuid.uuid4().hex}"
+        # without a mounted shared folder nothing is written anywhere: a part's size is bounded
+        at = f"{spill}/{uuid.uuid4().hex}" if spill else ""
+        settings = {"memory_limit": PART_MEMORY if spill else UNMOUNTED_MEMORY, "threads": 1, "preserve_insertion_order": False, "temp_directory": at}
         with duckdb.connect(":memory:", config=settings) as con:
             con.execute("CREATE TABLE partial (term VARCHAR, n_occ BIGINT, n_rows BIGINT)")
             batch = first
@@ -131,15 +133,16 @@ def term_counts(df: DataFrame, fields: Sequence[str], part_rows: int = PART_ROWS
     kinds = dict(df.dtypes)
     values = F.concat(*(F.coalesce(F.col(f), F.array().cast("array<string>")) if kinds[f].startswith("array") else F.array(F.col(f)) for f in fields))
     partial = df.select(values.alias("v")).mapInArrow(_partials, "term string, n_occ long, n_rows long")
-    partial = cut(partial.withColumn("h", F.xxhash64("term")))
+    partial = cut(partial.withColumn("h", F.xxhash64("term")).withColumn("size", 1 + F.floor(F.octet_length("term") / LONG_TERM)))
     spread = 2 * df.sparkSession.sparkContext.defaultParallelism
-    limit = max(1, min(part_rows, partial.count() // spread))
+    total = partial.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    limit = max(1, min(part_rows, total // spread))
     parted, n = _radix(partial, limit)
     shared = shared_folder(df.sparkSession)
-    spill = shared[5:] if shared.startswith("file:") else None  # DuckDB spills to a mounted folder only
-    if spill:
-        spill = "/" + spill.lstrip("/")
-    return parted.repartitionById(n, F.col("part").cast("int")).select("term", "n_occ", "n_rows").mapInArrow(_adder(spill), "term string, n_occ long, n_rows long")
+    spill = "/" + shared[5:].lstrip("/") if shared.startswith("file:") else None
+    cool = parted.filter("part >= 0").repartitionById(max(1, n), F.col("part")).select("term", "n_occ", "n_rows").mapInArrow(_adder(spill), "term string, n_occ long, n_rows long")
+    hot = parted.filter("part < 0").groupBy("term").agg(F.sum("n_occ").alias("n_occ"), F.sum("n_rows").alias("n_rows"))
+    return cool.unionByName(hot)
 
 
 def marked(terms: DataFrame, n_rows: int, rare: int = 2, common: float = 0.03) -> DataFrame:

@@ -46,3 +46,13 @@ def test_split_follows_bits():
 def test_marks(spark):
     df = spark.createDataFrame([("a", 9, 2), ("b", 9, 5), ("c", 9, 4)], "term string, n_occ long, n_rows long")
     assert [r["mark"] for r in terms.marked(df, 100, common=0.04).orderBy("term").collect()] == ["rare", "common", None]
+
+
+def test_hot_term_in_parts_of_one(spark):
+    import glob
+
+    rows = [(i, "pont", "pont", [f"n{i}"], "x", "y") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    got = {tuple(r) for r in terms.term_counts(df, ["enlabel", "frlabel", "fraliase"], part_rows=1).collect()}
+    assert got == brute(rows) and ("pont", 800, 400) in got
+    assert not glob.glob(".tmp*")
