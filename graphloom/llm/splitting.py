@@ -39,19 +39,21 @@ class Splitter:
         # a heading begins there: marked by signs, by its number, or underlined
         self.heading = regex.compile(rf"\s*(?:#{{1,6}}\s|={{2,}}\s*\w|\d+(?:\.\d+)*[.)]\s+\p{{Lu}}[^.\r\n]{{0,60}}(?:{_LINE}|$)|[^\r\n]{{1,60}}{_LINE}[=\-]{{3,}})")
         self.ends = regex.compile(r"(?:([.!?…]+)[\"'»”’)\]]*(\s+)|[。！？]+[」』）]*())(?=\S)")
-        self.words = regex.compile(r"[\p{L}\p{N}.]+(?: ex| b)?$")
+        self.words = regex.compile(r"(?r)(?<![\p{L}\p{N}.])[\p{L}\p{N}.]+(?: ex| b)?")
         self.short = frozenset(ABBREVIATIONS)
+        # between a letter and a blank before a letter the tokenizer parts every text, whatever stands around
+        self.first_seam, self.last_seam = (regex.compile(way + r"(?<=\p{L}) (?=\p{L})") for way in ("", "(?r)"))
 
     def boundaries(self, text: str) -> list[tuple[int, int, int]]:
         """(from, to, kind): spans of characters in which a cut is at a boundary of that kind."""
         out = []
         for m in self.lines.finditer(text):
-            head = self.heading.match(text, m.end(), min(len(text), m.end() + 80))
+            head = self.heading.match(text, m.end())
             out.append((m.start(), m.end(), 0 if head else 1 if m.group(2) else 2))
         for m in self.ends.finditer(text):
             end, gap = m.end(), m.group(2) or ""
             if m.group(1) == ".":
-                before = self.words.search(text[max(0, m.start() - 8) : m.start()])
+                before = self.words.search(text, 0, m.start())
                 word = before.group().lower() if before else ""
                 if text[end].islower() or word in self.short or (len(word) == 1 and word.isalpha()) or (word[-2:-1] == "." and word[-1:].isalpha()):
                     continue
@@ -82,9 +84,12 @@ class Splitter:
         signs[0xE2] = True  # general punctuation, arrows and other signs
         return whole, kind, signs[lead]
 
-    def cuts(self, n: int, places: tuple, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-        """(start, end, kind of the cut at its end or -1) of each piece, in tokens."""
-        if n <= limit:
+    def cuts(self, n: int, places: tuple, limit: int, overlap: int, banned: dict[int, set[int]] | None = None, finest: bool = False) -> list[tuple[int, int, int]] | None:
+        """(start, end, kind of the cut at its end or -1) of each piece, in tokens; none where there is no way.
+
+        No piece goes from a start to an end that `banned` names, by end; `finest` lets in cuts between all tokens.
+        """
+        if n <= limit and not banned:
             return [(0, n, -1)]
         whole, kind, between = places
         kind = kind.copy()
@@ -95,29 +100,36 @@ class Splitter:
         usable[0] = usable[n] = True
         chosen = usable & (kind < 9)
         chosen[0] = chosen[n] = True
-        step = max(1, limit - overlap - 3)
+        step = 0 if finest else max(1, limit - overlap - 3)
         for finer, what in ((4, usable & between), (5, usable)):
             at = np.flatnonzero(chosen)
             for k in np.flatnonzero(np.diff(at) > step):  # no boundary within reach: finer ones are let in here
                 more = at[k] + 1 + np.flatnonzero(what[at[k] + 1 : at[k + 1]])
                 chosen[more] = True
-                kind[more] = finer
+                kind[more] = np.minimum(kind[more], finer)
         c = np.flatnonzero(chosen)
         begin = start[c].copy()
         begin[0] = 0
-        penalty = np.where(kind[c] < 9, PENALTY[np.minimum(kind[c], 5)], 0.0)
-        penalty[-1] = 0
+        penalty = np.where(kind[c] < 9, PENALTY[np.minimum(kind[c], 5)], 0.0) + 0.5
+        penalty[-1] = 0.5
         count = max(1, -(-(n - overlap) // max(1, limit - overlap)))
         even = (n + (count - 1) * overlap) / count
         cost, last = np.full(len(c), np.inf), np.full(len(c), -1)
         cost[0] = 0
-        first = np.searchsorted(begin, c - limit, side="left")  # begin never falls
+        first = np.searchsorted(begin, c - limit, side="left").tolist()  # begin never falls
+        ends = (c - even) / limit
+        scaled = begin / limit
         for j in range(1, len(c)):
             lo = first[j]
             if lo < j:
-                total = cost[lo:j] + UNEVEN * ((c[j] - begin[lo:j] - even) / limit) ** 2
+                off = ends[j] - scaled[lo:j]
+                total = cost[lo:j] + UNEVEN * off * off
+                if banned and int(c[j]) in banned:
+                    total[np.isin(begin[lo:j], list(banned[int(c[j])]))] = np.inf
                 b = int(total.argmin())
-                cost[j], last[j] = total[b] + 0.5 + penalty[j], lo + b
+                cost[j], last[j] = total[b] + penalty[j], lo + b
+        if not np.isfinite(cost[-1]):
+            return None
         out, j = [], len(c) - 1
         while j > 0:
             i = int(last[j])
@@ -125,6 +137,19 @@ class Splitter:
             j = i
         return out[::-1]
 
+    def own_size(self, piece: str, raw_from: int, read: tuple) -> int:
+        """How many tokens a piece has on its own: those of its ends are counted anew, between the first and the last seam they are
+        those of the whole text."""
+        at = read[2]
+        head = self.first_seam.search(piece)
+        if head is None:
+            return len(self.coder.encode_ordinary(piece))
+        tail = self.last_seam.search(piece)
+        lo = raw_from + len(piece[: head.start()].encode())
+        hi = raw_from + len(piece[: tail.start()].encode())
+        i, j = np.searchsorted(at, (lo, hi))
+        return len(self.coder.encode_ordinary(piece[: head.start()])) + int(j - i) + len(self.coder.encode_ordinary(piece[tail.start() :]))
+
     def __call__(self, text: str, limits: Sequence[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, int, str, int]]:
         """(use, start, end, kind, text, tokens of that text) of all pieces for all limits."""
         read = self.read(text)
@@ -135,26 +160,35 @@ class Splitter:
                 yield name, 0, n, -1, text, n
                 continue
             places = places or self.places(read)
-            room = limit
-            while True:
-                out = []
-                for a, b, k in self.cuts(n, places, room, overlap):
-                    piece = raw[at[a] : at[b]].decode("utf-8")
-                    out.append((name, a, b, k, piece, len(self.coder.encode_ordinary(piece))))
-                # a piece on its own may part into more tokens than within its text
-                over = max(x[5] for x in out) - limit
-                if over <= 0 or room - over <= 2 * overlap + 8:
-                    break
-                room -= over
-            yield from out
+            yield from ((name, *x) for x in self.within(n, raw, at, read, places, limit, overlap))
+
+    def within(self, n: int, raw: bytes, at: np.ndarray, read: tuple, places: tuple, limit: int, overlap: int) -> list[tuple[int, int, int, str, int]]:
+        # a piece on its own may part into more tokens than within its text: such a piece is banned, the others stay possible
+        seen: dict[tuple[int, int], tuple[str, int]] = {}
+        for back in (overlap, 0):
+            for finest in (False, True):
+                banned: dict[int, set[int]] = {}
+                while (got := self.cuts(n, places, limit, back, banned, finest)) is not None:
+                    over = False
+                    for a, b, _ in got:
+                        if (a, b) not in seen:
+                            piece = raw[at[a] : at[b]].decode("utf-8")
+                            seen[a, b] = piece, self.own_size(piece, int(at[a]), read)
+                        if seen[a, b][1] > limit:
+                            banned.setdefault(b, set()).add(a)
+                            over = True
+                    if not over:
+                        return [(a, b, k, *seen[a, b]) for a, b, k in got]
+        raise ValueError(f"a limit of {limit} tokens holds no character")
 
 
 def split_texts(df: DataFrame, key: str, text: str, limits: Sequence[tuple[str, int, int]], path: str = TOKENIZER) -> DataFrame:
     """(use_name, key, piece_no, start_token, end_token, n_tokens, cut_kind, piece_text): the pieces of every text.
 
     limits: (use_name, max_tokens, overlap_tokens), the overlap less than half the limit. A text within a limit is one piece. Pieces
-    of a larger one are of max_tokens at most; each starts overlap_tokens before the end of the one before it, or up to
-    three more where that would be inside a character. cut_kind names the boundary at a piece's end:
+    of a larger one are of max_tokens at most, counted as the piece alone; each starts overlap_tokens before the end of the one
+    before it, or up to three more where that would be inside a character, or without overlap in a text that can't be cut
+    otherwise. cut_kind names the boundary at a piece's end:
     heading, paragraph, line, sentence, word, token, or 'end'. Words, and single tokens, are cut only where no other
     boundary is within reach. Null and empty texts have no pieces. Whole texts are read, however long.
     """

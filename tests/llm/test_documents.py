@@ -173,3 +173,39 @@ def test_filled_is_a_permutation(sizes, bounds):
     new = mixing._filled(rows, [b for b in bounds if b < at], 60)
     places = sorted((new.get(i, before), n) for before, n, i in rows)
     assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0
+
+
+def test_sizes_of_pieces_alone():
+    s = splitting.Splitter(load())
+    for text in [v for v in TEXTS.values() if v] + ["it's a test d'un mot 12 ab  cd\n ef' gh x y"]:
+        read = s.read(text)
+        _, raw, at, _ = read
+        places = s.places(read)
+        stops = [i for i in range(0, len(at), max(1, len(at) // 40)) if places[0][i]]
+        for a in stops:
+            for b in stops:
+                if a < b:
+                    piece = raw[at[a] : at[b]].decode()
+                    assert s.own_size(piece, int(at[a]), read) == len(s.coder.encode_ordinary(piece))
+
+
+def test_pieces_too_large_alone_are_banned():
+    s = splitting.Splitter(load())
+    text = "mot suivant " * 300
+    read = s.read(text)
+    n, raw, at, _ = read
+    places = s.places(read)
+    plain = s.cuts(n, places, 64, 8)
+    a, b, _ = plain[3]
+    again = s.cuts(n, places, 64, 8, {b: {a}})
+    assert (a, b) not in {x[:2] for x in again} and again[-1][1] == n
+    honest = s.own_size
+    s.own_size = lambda piece, at, read: 99 if len(piece) > 150 else honest(piece, at, read)  # as if long pieces parted into more
+    got = s.within(n, raw, at, read, places, 64, 8)
+    assert max(x[4] for x in got) <= 64 and got[-1][1] == n and all(x[1] - y[0] >= 8 for x, y in zip(got, got[1:]))
+
+
+def test_long_abbreviations_and_headings_are_seen_whole():
+    s = splitting.Splitter(load())
+    title = "1. " + "Titre " * 9
+    assert [k for *_, k in s.boundaries("mot\n" + " " * 90 + title + "\nsuite")][0] == 0
