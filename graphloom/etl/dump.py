@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -108,6 +108,11 @@ def paths(items: DataFrame) -> DataFrame:
     return items.filter(relevant() & F.col("en").isNotNull()).select(F.col("id").alias("item_id"), F.explode("paths").alias("path_ids"))
 
 
-def humans(items: DataFrame) -> DataFrame:
-    """(id, names) of instances of a human class: the label in the language of reading, or else in English, and aliases."""
-    return items.filter(F.exists("classes", lambda c: c.isin(*HUMAN_CLASSES))).select("id", label_bundle(F.coalesce("local", "en"), aliases=F.col("local_aliases")).alias("names"))
+def longest_labels(rows: DataFrame) -> DataFrame:
+    """(most_bytes): the size of the longest label list, which a fixed-width store has to hold; 0 for none."""
+    return rows.agg(F.coalesce(F.max(F.octet_length("qlabels")), F.lit(0)).alias("most_bytes"))
+
+
+def humans(items: DataFrame, classes: Sequence[str] = HUMAN_CLASSES) -> DataFrame:
+    """(id, names) of instances of one of the classes: the label in the language of reading, or else in English, and aliases."""
+    return items.filter(F.exists("classes", lambda c: c.isin(*classes))).select("id", label_bundle(F.coalesce("local", "en"), aliases=F.col("local_aliases")).alias("names"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,9 @@ def lexicon_base(items: DataFrame, ranks: DataFrame) -> DataFrame:
     return out.filter("all_ranked OR all_ranked IS NULL").select("id", F.col("en").alias("enlabel"), "order", F.col("local").alias("frlabel"), F.col("local_aliases").alias("fraliase"), "bridging")
 
 
-def top(base: DataFrame, n: int = 1_000_000, order: str = "order") -> DataFrame:
-    return base.orderBy(order, "id").limit(n)
+def top(base: DataFrame, n: int = 1_000_000, order: str = "order", ties: Sequence[str] = ("id",)) -> DataFrame:
+    """The n first rows by order, and by `ties` among equals."""
+    return base.orderBy(order, *ties).limit(n)
 
 
 def variants(base: DataFrame, title_case: bool = True) -> DataFrame:

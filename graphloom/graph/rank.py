@@ -33,6 +33,13 @@ def node_index(paths: DataFrame, path: str = "path_ids") -> DataFrame:
     return dense_index(nodes(paths, path), ["id"], "node")
 
 
+def number_edges(edges: DataFrame, index: DataFrame) -> DataFrame:
+    """(src, dst) as the numbers of `index` (id, node); an edge with an end that has no number is left out."""
+    ends = lambda n: index.select(F.col("id").alias(f"__{n}"), F.col("node").alias(n))
+    rows = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return rows.join(ends("src"), F.col("a") == F.col("__src")).join(ends("dst"), F.col("b") == F.col("__dst")).select("src", "dst")
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-5, check_every: int = 10, max_rounds: int = 200, rounds: int | None = None) -> DataFrame:
     """(id, score), scores summing to 1. The score of nodes without outgoing edges goes to all alike.
 

@@ -93,6 +93,7 @@ class State:
     score: float = 1.0
     last: str | None = None
     features: tuple[tuple[tuple[str, ...], str], ...] = ()
+    steps: tuple[str, ...] = ()
 
 
 class Machine:
@@ -144,7 +145,25 @@ class Machine:
             left, right = stack[-2:]
             head = left.head if a.kind == ">" else right.head
             stack = (*stack[:-2], Item(a.label, head, a.result(left.type, right.type), a.build(left.term, right.term)))
-        return State(stack, at, score, a.kind, s.features + tuple((f, a.label) for f in x))
+        return State(stack, at, score, a.kind, s.features + tuple((f, a.label) for f in x), (*s.steps, a.label))
+
+    def replay(self, tokens: list[Token], steps: list[str]) -> tuple[State, str]:
+        """The derivation that the labels of its actions name, again from the start, and its display tree: a leaf for each token
+        that was shifted, a node for each combination."""
+        by_label = {a.label: a for a in self.acts}
+        s, shown = State(), []
+        for label in steps:
+            a = by_label[label]
+            if not self.legal(s, tokens, a):
+                raise ValueError(f"{label} isn't possible after {' '.join(s.steps)}")
+            if a.kind in "SU":
+                shown.append(f"({label} {tokens[s.at].form})")
+            elif a.kind == "C":
+                shown[-3:] = [f"({label} {' '.join(shown[-3:])})"]
+            elif a.kind != "D":
+                shown[-2:] = [f"({label} {' '.join(shown[-2:])})"]
+            s = self.follow(s, tokens, a, s.score, self.features(s, tokens))
+        return s, " ".join(shown)
 
     def parse(self, tokens: list[Token], width: int) -> list[State]:
         """Complete derivations, best first: all tokens read, one item left. They leave the beam and don't count against it."""
@@ -193,31 +212,33 @@ class QuestionParser:
         self.width = width
 
     def derivations(self, tokens: DataFrame) -> DataFrame:
-        """(qid, deriv, score, ltype, term, shape, features): all complete derivations; status no_parse rows have deriv -1.
+        """(qid, deriv, score, ltype, term, shape, features, status, steps, display): all complete derivations with their actions and
+        the tree that shows them; status no_parse rows have deriv -1.
 
         A question's tokens are gathered to a row; a question is a sentence, not a corpus.
         """
         questions = tokens.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "form", "macro"))).alias("toks"))
         held = tokens.sparkSession.sparkContext.broadcast(self.weights)  # as many as features of the training questions
         width = self.width
-        schema = "qid long, deriv int, score double, ltype string, term string, shape string, features array<struct<x:array<string>,y:string,n:int>>, status string"
+        schema = "qid long, deriv int, score double, ltype string, term string, shape string, features array<struct<x:array<string>,y:string,n:int>>, status string, steps array<string>, display string"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machine, wh = Machine(held.value), parse(WH_TERM)
             for b in batches:
                 out: list[tuple] = []
                 for qid, toks in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    done = machine.parse([token(t["form"], t["macro"], wh) for t in toks], width)
+                    words = [token(t["form"], t["macro"], wh) for t in toks]
+                    done = machine.parse(words, width)
                     if not done:
-                        out.append((qid, -1, 0.0, None, None, None, [], "no_parse"))
+                        out.append((qid, -1, 0.0, None, None, None, [], "no_parse", [], None))
                     for i, s in enumerate(done):
                         term = normalise(s.stack[0].term)
                         counts = Counter(s.features)
                         kind = s.stack[0].type
-                        out.append((qid, i, s.score, kind if isinstance(kind, str) else "function", show(term), shape(term), [{"x": list(x), "y": y, "n": n} for (x, y), n in counts.items()], "ok"))
-                cols = list(zip(*out)) or [[] for _ in range(8)]
-                types = [pa.int64(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("x", pa.list_(pa.string())), ("y", pa.string()), ("n", pa.int32())])), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["qid", "deriv", "score", "ltype", "term", "shape", "features", "status"])
+                        out.append((qid, i, s.score, kind if isinstance(kind, str) else "function", show(term), shape(term), [{"x": list(x), "y": y, "n": n} for (x, y), n in counts.items()], "ok", list(s.steps), machine.replay(words, list(s.steps))[1]))
+                cols = list(zip(*out)) or [[] for _ in range(10)]
+                types = [pa.int64(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("x", pa.list_(pa.string())), ("y", pa.string()), ("n", pa.int32())])), pa.string(), pa.list_(pa.string()), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["qid", "deriv", "score", "ltype", "term", "shape", "features", "status", "steps", "display"])
 
         return questions.select(F.col("qid").cast("long").alias("qid"), "toks").mapInArrow(run, schema)
 
@@ -242,6 +263,19 @@ class QuestionParser:
             history.append(V.log_likelihood(d).first()[0])
         return history
 
+    def evaluate(self, tokens: DataFrame, answers: Callable[[DataFrame], DataFrame], gold: DataFrame) -> DataFrame:
+        """(n_questions, n_correct, accuracy): questions whose best derivation of type t gives an answer of gold (qid, answer), among
+        all questions of `tokens`, those without a parse being wrong."""
+        best = cut(self.predict(tokens))
+        right = answers(best).join(gold.select("qid", "answer"), ["qid", "answer"], "left_semi").select("qid").distinct()
+        n, good = tokens.agg(F.count_distinct("qid").alias("n_questions")), right.agg(F.count("*").alias("n_correct"))
+        return n.join(F.broadcast(good)).withColumn("accuracy", F.coalesce(F.try_divide("n_correct", "n_questions"), F.lit(0.0)))  # a row each
+
+    def train_and_test(self, train: DataFrame, test: DataFrame, answers: Callable[[DataFrame], DataFrame], gold: DataFrame, epochs: int = 5, rate: float = 1.0) -> dict:
+        """Weights from one set of questions, accuracy on both: {'log_likelihood': one an epoch, 'train': accuracy, 'test': accuracy}."""
+        history = self.fit(train, answers, gold, epochs, rate)
+        return {"log_likelihood": history, **{name: self.evaluate(q, answers, gold).first()["accuracy"] for name, q in (("train", train), ("test", test))}}
+
     def weights_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(list(x), y, float(w)) for (x, y), w in self.weights.items()], "x array<string>, y string, w double")
 

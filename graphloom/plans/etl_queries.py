@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.etl import dump, lexicon
+from graphloom.etl import dump, lexicon, pipeline
 from graphloom.graph import rank
+from graphloom.plans.data import _DUMP
 from graphloom.session import table
 from graphloom.text import functions as T
 from graphloom.text import tokenizer
@@ -46,12 +47,12 @@ def text_token_count(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n_words"))
 
 
-_LABELS = "SELECT DISTINCT enlabel AS k FROM lexicon_base WHERE length(enlabel) > 3"
+_LABELS = "SELECT DISTINCT enlabel AS k FROM lexicon_base WHERE enlabel <> ''"
 
 
 @query(f"SELECT s.row_id, arg_max(k, length(k)) AS named_entity FROM entity_stats s JOIN ({_LABELS}) l ON starts_with(s.qlabels, k) GROUP BY s.row_id")
 def text_longest_prefix(spark, d):
-    keys = table(spark, d, "lexicon_base").filter(F.length("enlabel") > 3).select(F.col("enlabel").alias("named_entity"))
+    keys = table(spark, d, "lexicon_base").filter("enlabel <> ''").select(F.col("enlabel").alias("named_entity"))
     return tokenizer.longest_prefix(table(spark, d, "entity_stats"), "row_id", "qlabels", keys)
 
 
@@ -64,7 +65,10 @@ def _lexicon(spark, d):
   SELECT named_entity, id, row_number() OVER (PARTITION BY named_entity ORDER BY CASE WHEN id LIKE 'P%' THEN 0 ELSE 1 END, rank_order, id) AS r
   FROM (SELECT unnest([enlabel, frlabel]) AS named_entity, id, rank_order FROM lexicon_base) WHERE named_entity IS NOT NULL) WHERE r = 1""")
 def text_link_entity(spark, d):
-    return _lexicon(spark, d).groupBy("named_entity").agg(F.min_by("id", F.struct((~F.col("id").startswith("P")).alias("item"), "rank", "id")).alias("linked"))
+    """What every label is linked to, as a token of its own."""
+    lex = _lexicon(spark, d)
+    forms = lex.select(F.col("named_entity").alias("form"), F.lit("key").alias("kind")).distinct()
+    return tokenizer.link(forms, lex).select(F.col("form").alias("named_entity"), F.col("macro").alias("linked"))
 
 
 @query()
@@ -110,29 +114,55 @@ def etl_relevance(spark, d):
     return table(spark, d, "entity_stats").filter(dump.relevant("ent_idx")).select("row_id")
 
 
-@query("""SELECT row_id, list_distinct(list_filter([enlabel, frlabel] || coalesce(fraliase, []), x -> x IS NOT NULL)) AS b, NULL AS bundle FROM lexicon_base WHERE false
-  UNION ALL BY NAME SELECT row_id, label FROM (SELECT DISTINCT row_id, unnest([enlabel, frlabel] || coalesce(fraliase, [])) AS label FROM lexicon_base) WHERE label IS NOT NULL""")
+@query("SELECT row_id, label FROM (SELECT DISTINCT row_id, unnest([enlabel, frlabel] || coalesce(fraliase, [])) AS label FROM lexicon_base) WHERE label IS NOT NULL")
 def etl_label_bundle(spark, d):
     return table(spark, d, "lexicon_base").select("row_id", F.explode(dump.label_bundle(F.col("enlabel"), F.col("frlabel"), aliases=F.col("fraliase"))).alias("label"))
 
 
-ORACLE["etl_label_bundle"] = "SELECT row_id, label FROM (SELECT DISTINCT row_id, unnest([enlabel, frlabel] || coalesce(fraliase, [])) AS label FROM lexicon_base) WHERE label IS NOT NULL"
-
-
-@query()
+# the dump in SQL: items with an id, their labels and paths; `element` and `ok` come from the lines' own SQL
+_VALUE = "CASE json_type({0}) WHEN 'OBJECT' THEN CASE WHEN json_type({0}, '$.value') = 'VARCHAR' THEN json_extract_string({0}, '$.value') END WHEN 'VARCHAR' THEN json_extract_string({0}, '$') END"
+_SIZE = "CASE WHEN json_type(j, '$.{0}') = 'OBJECT' THEN len(json_keys(j, '$.{0}')) ELSE 0 END::BIGINT"
+_ITEMS = _DUMP.replace("WITH dump", "WITH RECURSIVE dump", 1) + f""",
+item0 AS (SELECT line_no, json_extract_string(j, '$.id') AS id, {_SIZE.format("claims")} AS nclaims, {_SIZE.format("labels")} AS nlanguages, {_SIZE.format("sitelinks")} AS nsitelinks,
+  json_extract(j, '$.labels.en') AS en0, json_extract(j, '$.labels.fr') AS fr0, json_extract(j, '$.aliases.fr') AS al0, CASE WHEN json_type(j, '$.claims') = 'OBJECT' THEN json_keys(j, '$.claims') ELSE [] END AS props
+  FROM ok WHERE json_type(j, '$.id') = 'VARCHAR'),
+item AS (SELECT * EXCLUDE (en0, fr0, al0), list_contains(props, 'P31') AS is_instance, list_contains(props, 'P279') AS is_subclass, {_VALUE.format("en0")} AS en, {_VALUE.format("fr0")} AS local,
+  list_filter(list_transform(CASE json_type(al0) WHEN 'ARRAY' THEN al0::JSON[] WHEN 'NULL' THEN [] ELSE [al0] END, lambda a: {_VALUE.format("a")}), lambda a: a IS NOT NULL) AS aliases FROM item0),
+kept AS (SELECT * FROM item WHERE nlanguages >= 1 AND nclaims >= 1 AND (is_instance OR is_subclass) AND (id LIKE 'Q%' AND nsitelinks >= 1 OR id LIKE 'P%') AND en IS NOT NULL),
+st AS (SELECT e.line_no, k.id, entry_key AS p, v, CASE WHEN json_type(v, '$.mainsnak.datavalue.value.id') = 'VARCHAR' THEN json_extract_string(v, '$.mainsnak.datavalue.value.id') END AS o
+  FROM element e JOIN kept k USING (line_no) WHERE sect = 'claims' AND json_type(v) = 'OBJECT'),
+qa AS (SELECT line_no, id, p, o, v, unnest(CASE WHEN json_type(v, '$.qualifiers') = 'OBJECT' THEN json_keys(v, '$.qualifiers') ELSE [] END) AS q FROM st),
+qb AS (SELECT *, json_extract(v, '$.qualifiers."' || q || '"') AS qv FROM qa),
+qc AS (SELECT *, CASE json_type(qv) WHEN 'ARRAY' THEN json_extract(qv, '$[0]') ELSE qv END AS first FROM qb),
+qd AS (SELECT *, CASE WHEN json_type(first, '$.datavalue.value.id') = 'VARCHAR' THEN json_extract_string(first, '$.datavalue.value.id') END AS o2 FROM qc WHERE coalesce(json_type(first, '$.datavalue.value'), 'NULL') <> 'NULL'),
+path AS (SELECT line_no, id AS item_id, [id, p, o] AS path_ids FROM st WHERE o IS NOT NULL AND (coalesce(json_type(v, '$.qualifiers'), '') <> 'OBJECT' OR len(json_keys(v, '$.qualifiers')) = 0)
+  UNION ALL SELECT line_no, id, CASE WHEN o2 IS NULL THEN [id, p, o] ELSE [id, p, o, q, o2] END FROM qd WHERE o IS NOT NULL
+  UNION ALL SELECT line_no, id, [id, p, q, o2] FROM qd WHERE o IS NULL AND o2 IS NOT NULL)
+"""
+_ENTITIES = """SELECT id AS ent_idx, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ';') AS qlabels, nclaims, nlanguages, nsitelinks, is_instance, is_subclass, 0.0::DOUBLE AS neg_page_rank
+  FROM (SELECT *, list_filter([en, local] || aliases, lambda x: x IS NOT NULL) AS l FROM kept)"""
+
+
+@query(_ITEMS + _ENTITIES)
 def etl_entity_rows(spark, d):
     """The entity table made from the dump."""
     return dump.entity_rows(dump.read_items(table(spark, d, "dump_lines")))
 
 
-@query()
+@query(_ITEMS + "SELECT item_id, array_to_string(path_ids, ' ') AS path FROM path")
 def etl_statement_paths(spark, d):
     return dump.paths(dump.read_items(table(spark, d, "dump_lines"))).select("item_id", F.array_join("path_ids", " ").alias("path"))
 
 
-@query()
+_CLASSES = "SELECT id FROM core_entities WHERE kind = 'item'"
+
+
+@query(_ITEMS + f"""SELECT id, unnest(list_distinct(list_filter([coalesce(local, en)] || aliases, lambda x: x IS NOT NULL))) AS name FROM item WHERE line_no IN (
+  SELECT line_no FROM element WHERE sect = 'claims' AND entry_key = 'P31' AND json_type(v, '$.mainsnak.datavalue.value.id') = 'VARCHAR' AND json_extract_string(v, '$.mainsnak.datavalue.value.id') IN ({_CLASSES}))""")
 def etl_humans(spark, d):
-    return dump.humans(dump.read_items(table(spark, d, "dump_lines"))).select("id", F.explode("names").alias("name"))
+    """Names of the instances of the core items, which stand for the human classes that these tables lack."""
+    classes = [r["id"] for r in table(spark, d, "core_entities").filter("kind = 'item'").select("id").collect()]  # 40 at every scale
+    return dump.humans(dump.read_items(table(spark, d, "dump_lines")), classes).select("id", F.explode("names").alias("name"))
 
 
 _PLURAL = "CASE WHEN w LIKE '%y' THEN w[:-2] || 'ies' WHEN w LIKE '%s' OR w LIKE '%x' OR w LIKE '%sh' OR w LIKE '%ch' THEN w || 'es' WHEN w LIKE '%an' THEN w[:-3] || 'en' ELSE w || 's' END"
@@ -144,7 +174,13 @@ def etl_plural(spark, d):
     return words.select("word", T.plural(F.col("word")).alias("plural"))
 
 
-@query()
+_TITLE = "array_to_string(list_transform(regexp_extract_all(label, '[\\p{Lu}\\p{Ll}\\p{Lt}]+|[^\\p{Lu}\\p{Ll}\\p{Lt}]+'), lambda x: upper(x[1]) || lower(x[2:])), '')"
+_LABEL_PLURAL = f"CASE WHEN label = enlabel AND label NOT LIKE '% %' AND label <> '' THEN {_PLURAL.replace('w LIKE', 'label LIKE').replace('w[', 'label[').replace('w ||', 'label ||')} END"
+_LABEL_ROWS = "SELECT DISTINCT row_id, label, enlabel, id, rank_order FROM (SELECT row_id, enlabel, id, rank_order, unnest([enlabel, frlabel] || coalesce(fraliase, [])) AS label FROM base) WHERE label IS NOT NULL"
+
+
+@query(f"""WITH base AS (SELECT * FROM lexicon_base), labels AS ({_LABEL_ROWS})
+SELECT row_id, unnest(list_distinct(list_filter([label, lower(label), upper(label[1]) || lower(label[2:]), {_TITLE}, {_LABEL_PLURAL}], lambda x: x IS NOT NULL))) AS variant FROM labels""")
 def etl_variants(spark, d):
     return lexicon.variants(table(spark, d, "lexicon_base")).select("row_id", "variant")
 
@@ -159,17 +195,40 @@ def etl_inverted_dictionary(spark, d):
     return lexicon.dictionary(table(spark, d, "lexicon_base"), "rank_order", title_case=False)
 
 
-@query()
+@query(f"""WITH base AS (SELECT * FROM lexicon_base WHERE id NOT IN ({", ".join(f"'{i}'" for i in (*T.STOP_IDS, *T.WH_IDS))})), labels AS ({_LABEL_ROWS}),
+v AS (SELECT unnest([label, lower(label), upper(label[1]) || lower(label[2:]), {_TITLE}, {_LABEL_PLURAL}]) AS named_entity, id, rank_order FROM labels),
+k AS (SELECT named_entity, id, min(rank_order) AS o FROM v WHERE regexp_matches(named_entity, '[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches(named_entity, '[*+()\\[\\]?\\\\]') GROUP BY ALL)
+SELECT named_entity, row_number() OVER (PARTITION BY named_entity ORDER BY o, id) - 1 AS pos, id FROM k""")
 def etl_inverted_dictionary_full(spark, d):
     """The dictionary with all four case forms of every label."""
     return lexicon.dictionary(table(spark, d, "lexicon_base"), "rank_order")
 
 
-@query()
+_CHAIN = "SELECT path_ids[i] AS src, path_ids[i + 1] AS dst FROM statement_paths, (SELECT unnest([1, 2, 3, 4]) AS i) WHERE i < len(path_ids)"
+# rounds go on to the hundredth; the scores are those of the first tenth round that moved less than the tolerance
+_ROUNDS = """
+ids AS (SELECT src AS id FROM edge UNION SELECT dst FROM edge), deg AS (SELECT src, count(*) AS n FROM edge GROUP BY src), c AS (SELECT count(*) AS n FROM ids),
+pr AS (SELECT 0 AS k, id, 1.0::DOUBLE / c.n AS score FROM ids, c UNION ALL (
+  WITH now AS (SELECT * FROM pr), got AS (SELECT edge.dst AS id, sum(now.score / deg.n) AS got FROM edge JOIN now ON now.id = edge.src JOIN deg ON deg.src = edge.src GROUP BY edge.dst),
+  lost AS (SELECT coalesce(sum(score), 0) AS x FROM now WHERE id NOT IN (SELECT src FROM deg))
+  SELECT now.k + 1, now.id, 0.15::DOUBLE / c.n + 0.85::DOUBLE * lost.x / c.n + 0.85::DOUBLE * coalesce(got, 0) FROM now CROSS JOIN c CROSS JOIN lost LEFT JOIN got ON got.id = now.id WHERE now.k < 100)),
+last AS (SELECT min(k) AS k FROM (SELECT a.k, sum(abs(a.score - b.score)) AS moved FROM pr a JOIN pr b ON b.id = a.id AND b.k = a.k - 1 WHERE a.k % 10 = 0 GROUP BY a.k) WHERE moved < 1e-5),
+score AS (SELECT id, score FROM pr JOIN last USING (k))
+"""
+_PAGERANK = _ITEMS + f", edge AS (SELECT DISTINCT * FROM ({_CHAIN.replace('statement_paths', 'path')}) WHERE src IS NOT NULL AND dst IS NOT NULL)," + _ROUNDS
+_BASE = """SELECT b.id, b.en AS enlabel, r.o AS "order", b.local AS frlabel, array_to_string(b.aliases, '|') AS fraliase, pr_.bridging
+  FROM item b JOIN (SELECT id, row_number() OVER (ORDER BY round(score * c.n / 1e-9) DESC, id) - 1 AS o FROM score, c) r ON r.id = b.id
+  LEFT JOIN (SELECT id, array_to_string(list(p ORDER BY o, p), '|') AS bridging, count(*) = count(o) AS every FROM (
+    SELECT x.id, x.p, y.o FROM (SELECT i.id, unnest(i.props) AS p FROM item i JOIN score s ON s.id = i.id WHERE i.en IS NOT NULL AND i.id LIKE 'Q%') x
+    LEFT JOIN (SELECT id, row_number() OVER (ORDER BY round(score * c.n / 1e-9) DESC, id) - 1 AS o FROM score, c) y ON y.id = x.p) GROUP BY id) pr_ ON pr_.id = b.id
+  WHERE b.en IS NOT NULL AND coalesce(pr_.every, true)"""
+
+
+@query(_PAGERANK + _BASE)
 def etl_lexicon_base(spark, d):
     """The lexicon base from the dump and the converged ranks of its own paths."""
     items = dump.read_items(table(spark, d, "dump_lines"))
-    ranks = rank.ranked(rank.pagerank(rank.edges(dump.paths(items))), ["id"])
+    ranks = pipeline.stable_ranks(rank.pagerank(rank.edges(dump.paths(items))))
     base = lexicon.lexicon_base(items, ranks)
     return base.select("id", "enlabel", "order", "frlabel", F.array_join("fraliase", "|").alias("fraliase"), F.array_join("bridging", "|").alias("bridging"))
 
@@ -184,7 +243,6 @@ def etl_bridging(spark, d):
     return ordered.select("id", F.posexplode("x").alias("pos", "x")).select("id", "pos", "x.property")
 
 
-_CHAIN = "SELECT path_ids[i] AS src, path_ids[i + 1] AS dst FROM statement_paths, (SELECT unnest([1, 2, 3, 4]) AS i) WHERE i < len(path_ids)"
 _SHORT = "SELECT path_ids[1], path_ids[3] FROM statement_paths WHERE len(path_ids) = 3 UNION SELECT path_ids[1], path_ids[4] FROM statement_paths WHERE len(path_ids) = 4 UNION SELECT path_ids[a], path_ids[b] FROM statement_paths, (SELECT unnest([1, 1, 3]) AS a, unnest([3, 5, 5]) AS b) WHERE len(path_ids) = 5"
 
 
@@ -221,7 +279,7 @@ def graph_pagerank(spark, d):
     return rank.pagerank(rank.edges(table(spark, d, "statement_paths")), rounds=5).select("id", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(f"WITH RECURSIVE edge AS (SELECT DISTINCT * FROM ({_CHAIN}) WHERE src IS NOT NULL AND dst IS NOT NULL)," + _ROUNDS + "SELECT id, round(score, 9) AS score FROM score")
 def graph_pagerank_converged(spark, d):
     """The scores at the operator's tolerance."""
     return rank.pagerank(rank.edges(table(spark, d, "statement_paths"))).select("id", F.round("score", 9).alias("score"))
@@ -235,4 +293,4 @@ def graph_rank_order(spark, d):
 
 @query("SELECT id, enlabel, rank_order FROM lexicon_base ORDER BY rank_order, row_id LIMIT 500")
 def graph_topn(spark, d):
-    return table(spark, d, "lexicon_base").orderBy("rank_order", "row_id").select("id", "enlabel", "rank_order").limit(500)
+    return lexicon.top(table(spark, d, "lexicon_base"), 500, "rank_order", ("row_id",)).select("id", "enlabel", "rank_order")

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,25 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed with the tables of cut."""
+    path = f"{shared_folder(spark)}/graphloom-{uuid.uuid4().hex}"
+    marker = spark.range(0)
+    _kept[id(marker)] = (marker, path)
+    return path
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Removes at its end what cut and scratch wrote inside; results of queries must have been read or written by then."""
+    before = set(_kept)
+    try:
+        yield
+    finally:
+        for df, _ in [x for k, x in _kept.items() if k not in before]:
+            drop(df)
+
+
 def drop(df: DataFrame) -> None:
     """Removes the table behind a result of cut."""
     held = _kept.pop(id(df), None)

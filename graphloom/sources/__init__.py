@@ -45,3 +45,40 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
 def write_json_lines(df: DataFrame, path: str) -> None:
     """JSON lines without the fields that are null."""
     df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
+
+def write_paths(paths: DataFrame, path: str, column: str = "path_ids") -> None:
+    """Statement paths, one a line, ids parted by blanks. Null paths and ids have no line."""
+    rows = paths.filter(F.col(column).isNotNull() & ~F.exists(column, lambda x: x.isNull() | x.rlike(r"\s")))
+    rows.select(F.array_join(column, " ")).write.mode("overwrite").text(path)
+
+
+def read_paths(spark: SparkSession, path: str) -> DataFrame:
+    """(path_ids) of the lines with three to five ids."""
+    return spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("path_ids")).filter(F.size("path_ids").between(3, 5))
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """(id, node) as lines of id, tab, number."""
+    index.select(F.concat_ws("\t", "id", F.col("node").cast("string"))).write.mode("overwrite").text(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, node long").option("sep", "\t").option("quote", "").csv(path).filter("node IS NOT NULL")
+
+
+# Widths in bytes of the text columns of the entity store.
+ENTITY_WIDTHS = {"ent_idx": 16, "qlabels": 9000}
+
+
+def write_entities(rows: DataFrame, path: str, widths: dict[str, int] = ENTITY_WIDTHS, mode: str = "append") -> None:
+    """Rows of the entity table added to the store, or in its place with mode 'overwrite'. A text wider than its column is an error, so that nothing is cut silently."""
+    checked = rows
+    for name, width in widths.items():
+        wide = F.raise_error(F.concat(F.lit(f"{name} wider than {width} bytes: "), F.substring(name, 1, 40))).cast("string")
+        checked = checked.withColumn(name, F.when(F.octet_length(name) > width, wide).otherwise(F.col(name)))
+    checked.write.mode(mode).parquet(path)
+
+
+def read_entities(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -1,10 +1,12 @@
 """Tokens with multi-word keys, and readers of questions.
 
-The lexicon's keys with a blank make a trie, bounded by max_vocab, that every executor builds once; all else joins.
+The lexicon's keys with a blank make tries, of max_vocab keys at most, that executors build; all else joins.
 """
 
 from __future__ import annotations
 
+import gzip
+import json
 import re
 from collections.abc import Iterable, Iterator
 
@@ -12,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import cut
 from graphloom.text import functions as T
 
-#: Keys that a trie may hold, the best-ranked first.
+#: Keys that a trie may hold; more are matched in several passes.
 MAX_VOCAB = 1_000_000
 #: Tokens of a batch sent back, beside those of its last text.
 SENT = 50_000
@@ -60,8 +63,52 @@ class Trie:
                 best = i
         return best
 
+    def keys(self) -> Iterator[str]:
+        """All keys, by depth first."""
+        todo = [("", self.root)]
+        while todo:
+            text, at = todo.pop()
+            for ch in sorted(at, reverse=True):
+                if ch:
+                    todo.append((text + ch, at[ch]))
+            if "" in at:
+                yield text
+
+    def save(self, path: str) -> None:
+        """Front-coded keys, gzipped: of each key the number of characters it shares with the one before, and the rest."""
+        with gzip.open(path, "wt", encoding="utf-8", errors="surrogatepass", newline="\n") as f:
+            before = ""
+            for key in self.keys():
+                n = 0
+                while n < min(len(key), len(before)) and key[n] == before[n]:
+                    n += 1
+                f.write(json.dumps([n, key[n:]]) + "\n")
+                before = key
+
+    @classmethod
+    def load(cls, path: str) -> Trie:
+        def read() -> Iterator[str]:
+            with gzip.open(path, "rt", encoding="utf-8", errors="surrogatepass") as f:
+                before = ""
+                for line in f:
+                    n, rest = json.loads(line)
+                    before = before[:n] + rest
+                    yield before
+
+        return cls(read())
+
+
+class Ends:
+    """Longest keys found beforehand, by where they begin in one text."""
+
+    def __init__(self, ends: dict[int, int]) -> None:
+        self.ends = ends
+
+    def longest(self, text: str, start: int) -> int:
+        return self.ends.get(start, start)
 
-def tokens_of(text: str, trie: Trie, compound: re.Pattern | None) -> list[tuple[str, str]]:
+
+def tokens_of(text: str, trie: Trie | Ends, compound: re.Pattern | None) -> list[tuple[str, str]]:
     """(form, kind) of a normalised text; kind is compound, key or word."""
     out, at = [], 0
     while at < len(text):
@@ -88,23 +135,42 @@ def tokens_of(text: str, trie: Trie, compound: re.Pattern | None) -> list[tuple[
 def tokenize(df: DataFrame, key: str, text: str, lexicon: DataFrame, max_vocab: int = MAX_VOCAB, compounds: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, pos, form, kind) and the columns `keep`: tokens of `text`, multi-word keys of the lexicon (named_entity, rank) in one piece.
 
-    Null and empty texts give no rows. Keys beyond max_vocab, by rank, aren't matched; that is the index's stated size.
+    Null and empty texts give no rows. More keys than max_vocab are matched in passes of that many each, by hash: each pass
+    notes where its keys begin and end in every text, the longest of all passes count.
     """
-    keys = [r[0] for r in lexicon.filter(F.col("named_entity").contains(" ")).groupBy("named_entity").agg(F.min("rank").alias("rank")).orderBy("rank", "named_entity").limit(max_vocab).select("named_entity").toLocalIterator()]
-    held = df.sparkSession.sparkContext.broadcast(keys)  # max_vocab keys at most
-    pattern = compounds
+    sc = df.sparkSession.sparkContext
+    keys = lexicon.filter(F.col("named_entity").contains(" ")).select("named_entity").distinct()
+    n_keys = keys.count()
+    texts = df.select(F.col(key).cast("long").alias(key), T.normalize(F.col(text)).alias("t"), *keep)
+    pattern, held = compounds, None
+    passes = -(-n_keys // max_vocab)
+    if passes <= 1:
+        held = sc.broadcast([r[0] for r in keys.toLocalIterator()])  # max_vocab keys at most
+        texts = texts.withColumn("__ends", F.lit(None).cast("array<struct<at:int,end:int>>"))
+    else:
+        texts = cut(texts.withColumn("__n", F.monotonically_increasing_id()))
+        met = None
+        parts = 2 * passes  # a part by hash is a little uneven: half of max_vocab on average
+        for i in range(parts):
+            part = sc.broadcast([r[0] for r in keys.filter(F.pmod(F.xxhash64("named_entity"), F.lit(parts)) == i).toLocalIterator()])
+            found = texts.select("__n", "t").mapInArrow(_begins(part), "__n long, at int, end int")
+            met = found if met is None else met.unionByName(found)
+        longest = met.groupBy(F.col("__n").alias("__m"), "at").agg(F.max("end").alias("end")).groupBy("__m").agg(F.collect_list(F.struct("at", "end")).alias("__ends"))
+        texts = texts.join(longest, F.col("__n") == F.col("__m"), "left").withColumn("__ends", F.coalesce("__ends", F.array().cast("array<struct<at:int,end:int>>"))).select(key, "t", *keep, "__ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, rx = Trie(held.value), re.compile(pattern) if pattern else None
+        trie, rx = Trie(held.value) if held else None, re.compile(pattern) if pattern else None
         for b in batches:
+            ends = b.column(b.num_columns - 1).to_pylist()
             at, pos, forms, kinds = [], [], [], []
 
             def rows() -> pa.RecordBatch:
-                own = [b.column(i).take(pa.array(at, pa.int64())) for i in (0, *range(2, b.num_columns))]
+                own = [b.column(i).take(pa.array(at, pa.int64())) for i in (0, *range(2, b.num_columns - 1))]
                 return pa.RecordBatch.from_arrays([own[0], pa.array(pos, pa.int32()), pa.array(forms, pa.string()), pa.array(kinds, pa.string()), *own[1:]], names=[key, "pos", "form", "kind", *keep])
 
             for n, t in enumerate(b.column(1).to_pylist()):
-                for i, (form, kind) in enumerate(tokens_of(t or "", trie, rx)):
+                index = trie or Ends({x["at"]: x["end"] for x in ends[n]})
+                for i, (form, kind) in enumerate(tokens_of(t or "", index, rx)):
                     at.append(n)
                     pos.append(i)
                     forms.append(form)
@@ -115,7 +181,30 @@ def tokenize(df: DataFrame, key: str, text: str, lexicon: DataFrame, max_vocab:
             yield rows()
 
     kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(F.col(key).cast("long").alias(key), T.normalize(F.col(text)).alias("t"), *keep).mapInArrow(run, f"`{key}` long, pos int, form string, kind string{kept}")
+    return texts.mapInArrow(run, f"`{key}` long, pos int, form string, kind string{kept}")
+
+
+def _begins(part):
+    """Where keys of one part begin and end in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(part.value)
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for i, ch in enumerate(t or ""):
+                    if ch in trie.root and (end := trie.longest(t, i)) > i:
+                        out.append((n, i, end))
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int32()), pa.array(list(cols[2]), pa.int32())], names=["__n", "at", "end"])
+
+    return run
+
+
+def read_compounds(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a compound dictionary, pieces joined by '+'; # starts a comment. A dictionary's lines come to the driver."""
+    lines = (r["value"].split("#", 1)[0].strip() for r in spark.read.text(path).toLocalIterator())
+    return [x for x in lines if x]
 
 
 def link(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
