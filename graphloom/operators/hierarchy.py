@@ -19,13 +19,20 @@ def tree_links(links: DataFrame, child: str, parent: str) -> DataFrame:
     """(id, parent) with one row for every id on either side; parent is null for ids without one.
 
     Repeated links count once; a link with a null side names no link, its other side still being an id.
-    Of several parents the smallest is taken: a node of a tree has one.
+    Of several parents the smallest is taken: a node of a tree has one. `other_parents` has the rest.
     """
     pairs = links.select(F.col(child).alias("id"), F.col(parent).alias("parent"))
     ends = pairs.select(F.explode(F.array(F.struct("id", "parent"), F.struct(F.col("parent").alias("id"), F.lit(None).cast("string").alias("parent")))).alias("x"))
     return ends.select("x.*").filter("id IS NOT NULL").groupBy("id").agg(F.min("parent").alias("parent"))
 
 
+def other_parents(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """(id, parent): the distinct links that tree_links leaves out, to parents that aren't a node's smallest."""
+    pairs = links.select(F.col(child).alias("id"), F.col(parent).alias("parent")).dropna().distinct()
+    kept = pairs.groupBy(F.col("id").alias("__i")).agg(F.min("parent").alias("__p"))
+    return pairs.join(kept, (F.col("id") == F.col("__i")) & (F.col("parent") != F.col("__p"))).select("id", "parent")
+
+
 def _up(links: DataFrame) -> tuple[DataFrame, int]:
     """The state (id, parent, a0.., dist, size) after as many rounds as it takes, and how many rounds.
 

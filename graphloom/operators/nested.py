@@ -282,11 +282,19 @@ def shred(df: DataFrame, key: str, line: str, paths: Sequence[str], carry: Seque
     return df.select(key, line).mapInArrow(run, T.StructType(fields))
 
 
-def parent_label(dewey: Column, steps: int = 1) -> Column:
-    """The label of the ancestor so many steps up; '' above the top."""
+def parent_label(dewey: Column, steps: int = 1, depth: int | None = None) -> Column:
+    """The label of the ancestor so many steps up; '' above the top. Labels of one schema path have one `depth`, by which they are
+    cut faster."""
+    if depth is not None:
+        return F.substring_index(dewey, ".", depth - steps)
     return F.regexp_replace(dewey, rf"(^|\.)\d+(\.\d+){{{steps - 1}}}$", "")
 
 
+def ordinal(dewey: Column) -> Column:
+    """A node's place among its siblings: the last part of its label."""
+    return F.substring_index(dewey, ".", -1).cast("int")
+
+
 def node_tables(nodes: DataFrame, paths: Sequence[str]) -> dict[str, DataFrame]:
     """The nodes of each schema path as a table of its own."""
     return {p: nodes.filter(F.col("node_path") == p).drop("node_path") for p in paths}

@@ -11,6 +11,8 @@ from graphloom.operators.skew import small_enough
 from graphloom.session import cut, table
 
 DUMP_PATHS = ("labels.*", "sitelinks.*", "aliases.*[]", "claims.*[]", "claims.*[].qualifiers.*[]")
+#: Steps from a claim to its qualifiers: the field's name, the property and the place.
+QUALIFIER_STEPS = 3
 #: core_entities is broadcast up to so many rows and joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
 
@@ -20,12 +22,26 @@ def dump_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Flat rows of the dump: every label, sitelink, alias, claim and qualifier with its line, entry and places."""
+    """Flat rows of the dump: every label, sitelink, alias, claim and qualifier with its line, entry and places.
+
+    Places are read off the labels: an element's is the last ordinal of its own, a qualifier's claim is its label cut short.
+    """
     nodes = dump_nodes(spark, d)
-    sect = F.when(F.col("node_path") == DUMP_PATHS[-1], "qualifiers").otherwise(F.substring_index("node_path", ".", 1))
+    qualifier, one = F.col("node_path") == DUMP_PATHS[-1], ~F.col("node_path").endswith("[]")
+    sect = F.when(qualifier, "qualifiers").otherwise(F.substring_index("node_path", ".", 1))
+    element = F.when(qualifier, nested.parent_label(F.col("dewey"), QUALIFIER_STEPS, 2 * QUALIFIER_STEPS)).otherwise(F.col("dewey"))
     return nodes.select(
-        "line_no", sect.alias("sect"), F.get("keys", F.lit(0)).alias("entry_key"), F.coalesce(F.get("places", F.lit(0)), F.lit(0)).alias("pos"),
-        F.coalesce(F.get("keys", F.lit(1)), F.lit("")).alias("sub_key"), F.coalesce(F.get("places", F.lit(1)), F.lit(-1)).alias("sub_pos"))
+        "line_no", sect.alias("sect"), F.get("keys", F.lit(0)).alias("entry_key"), F.when(one, 0).otherwise(nested.ordinal(element)).alias("pos"),
+        F.when(qualifier, F.get("keys", F.lit(1))).otherwise("").alias("sub_key"), F.when(qualifier, nested.ordinal(F.col("dewey"))).otherwise(-1).alias("sub_pos"))
+
+
+def p2_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Every claim with the number of its qualifiers: the tables of the two schema paths joined by the parent's label."""
+    tables = nested.node_tables(cut(dump_nodes(spark, d).filter(F.col("node_path").startswith("claims"))), DUMP_PATHS[-2:])
+    claims, quals = (tables[p] for p in DUMP_PATHS[-2:])
+    per = quals.groupBy(F.col("line_no").alias("l"), nested.parent_label(F.col("dewey"), QUALIFIER_STEPS, 2 * QUALIFIER_STEPS).alias("p")).agg(F.count("*").alias("n"))
+    both = claims.join(per, (F.col("line_no") == F.col("l")) & (F.col("dewey") == F.col("p")), "left")
+    return both.select("line_no", F.get("keys", F.lit(0)).alias("entry_key"), nested.ordinal(F.col("dewey")).alias("pos"), F.coalesce("n", F.lit(0)).alias("n_qualifiers"))
 
 
 def references_at(spark: SparkSession, d: str) -> DataFrame:
@@ -56,6 +72,19 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(spark, d).groupBy("src_table", month).agg(F.count("*").alias("n_orphans"), F.countDistinct("row_id").alias("n_rows"))
 
 
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose item has no label in the document's language, under each match of the composite key (item_id, lang)."""
+    docs = table(spark, d, "documents").select("doc_id", bare_id("item_id").alias("item_id"), F.lower("lang").alias("lang"))
+    lex = table(spark, d, "lexicon_base")
+    labels = lex.filter("enlabel IS NOT NULL").select(bare_id("id").alias("item_id"), F.lit("en").alias("lang")).unionByName(lex.filter("frlabel IS NOT NULL").select(bare_id("id").alias("item_id"), F.lit("fr").alias("lang")))
+    keys = labels.distinct()
+    out = None
+    for match in references.MATCHES:
+        found = references.orphans(docs, keys, ["item_id", "lang"], match).select("doc_id", F.lit(match).alias("match_kind"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def class_links(spark: SparkSession, d: str) -> DataFrame:
     """(child, parent) of the P279 claims whose main value is an object with an id, as bare ids."""
     # only a line that holds the key, written plainly or with escapes, can have such a claim
@@ -75,12 +104,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Path from the root, preorder range and number of descendants of every class, and what entity_stats says of it."""
+    """Path from the root and number of descendants of every class, and what entity_stats says of it."""
     links, sets = class_tree(spark, d)
     sets = cut(sets)
     flags = table(spark, d, "entity_stats").groupBy(bare_id("ent_idx").alias("__e")).agg(F.bool_or("is_subclass").alias("flagged"))
     out = sets.join(hierarchy.paths(links, sets).withColumnRenamed("id", "__p"), F.col("id") == F.col("__p"))
-    return out.join(flags, F.col("id") == F.col("__e"), "left").select("id", "root_id", "tree_depth", "tree_path", "lft", "rgt", "n_descendants", "flagged")
+    return out.join(flags, F.col("id") == F.col("__e"), "left").select("id", "root_id", "tree_depth", "tree_path", "n_descendants", "flagged")
+
+
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every class with each of its descendants, by ranges of the preorder; read the other way, every class with its ancestors."""
+    sets = cut(class_tree(spark, d)[1])
+    return hierarchy.descendants(sets, sets)
+
+
+def p6_other_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Links to further parents, which no tree of one parent a node holds."""
+    return hierarchy.other_parents(class_links(spark, d), "child", "parent")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +128,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.split_packed(table(spark, d, "entity_stats"), "row_id", "qlabels").select("row_id", "pos", "label_value")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_report, p6_found, p6_tree, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_claims, p5_found, p5_report, p5_labels, p6_found, p6_tree, p6_descendants, p6_other_parents, p7_found)}
 
 _BARE = "nullif(upper(regexp_replace(regexp_replace({}, '^(?s:.*)[:/]', ''), '\\s+', '', 'g')), '')"
 _REFS = f"""
@@ -130,15 +170,35 @@ ORACLE["p2_found"] = _DUMP + """
 SELECT line_no, sect, entry_key, pos::INT AS pos, '' AS sub_key, -1 AS sub_pos FROM element
 UNION ALL SELECT line_no, 'qualifiers', entry_key, pos, sub_key, unnest(range(CASE json_type(q) WHEN 'ARRAY' THEN json_array_length(q)::BIGINT WHEN 'NULL' THEN 0 ELSE 1 END::BIGINT))::INT FROM qv
 """
+ORACLE["p2_claims"] = _DUMP + """
+SELECT e.line_no, e.entry_key, e.pos::INT AS pos, sum(CASE WHEN q IS NULL OR json_type(q) = 'NULL' THEN 0 WHEN json_type(q) = 'ARRAY' THEN json_array_length(q)::BIGINT ELSE 1 END)::BIGINT AS n_qualifiers
+FROM element e LEFT JOIN qv ON qv.line_no = e.line_no AND qv.entry_key = e.entry_key AND qv.pos = e.pos WHERE e.sect = 'claims' GROUP BY ALL
+"""
+ORACLE["p5_labels"] = f"""
+WITH k AS (SELECT DISTINCT {_BARE.format('id')} AS i, 'en' AS l FROM lexicon_base WHERE enlabel IS NOT NULL UNION SELECT {_BARE.format('id')}, 'fr' FROM lexicon_base WHERE frlabel IS NOT NULL),
+r AS (SELECT doc_id, {_BARE.format('item_id')} AS i, lower(lang) AS l FROM documents),
+there AS (SELECT *, EXISTS (SELECT 1 FROM k WHERE k.i = r.i AND k.l = r.l) AS pair_there, EXISTS (SELECT 1 FROM k WHERE k.i = r.i) AS item_there, EXISTS (SELECT 1 FROM k WHERE k.l = r.l) AS lang_there FROM r)
+SELECT doc_id, 'simple' AS match_kind FROM there WHERE i IS NOT NULL AND l IS NOT NULL AND NOT pair_there
+UNION ALL SELECT doc_id, 'partial' FROM there WHERE CASE WHEN i IS NOT NULL AND l IS NOT NULL THEN NOT pair_there WHEN i IS NOT NULL THEN NOT item_there WHEN l IS NOT NULL THEN NOT lang_there ELSE false END
+UNION ALL SELECT doc_id, 'full' FROM there WHERE CASE WHEN i IS NOT NULL AND l IS NOT NULL THEN NOT pair_there ELSE i IS NOT NULL OR l IS NOT NULL END"""
 # depths go down from the roots; what they don't reach is closed over upwards, and a node in its own closure is on a circle
-ORACLE["p6_found"] = _DUMP.replace("WITH dump", "WITH RECURSIVE dump", 1) + f"""
+_LINKS = _DUMP.replace("WITH dump", "WITH RECURSIVE dump", 1) + f"""
 , raw AS (SELECT json_extract_string(ok.j, '$.id') AS c, json_extract_string(e.v, '$.mainsnak.datavalue.value.id') AS p FROM element e JOIN ok USING (line_no)
   WHERE sect = 'claims' AND entry_key = 'P279' AND json_type(e.v, '$.mainsnak.datavalue.value') = 'OBJECT'),
-link AS (SELECT {_BARE.format('c')} AS c, min({_BARE.format('p')}) AS p FROM raw WHERE {_BARE.format('c')} IS NOT NULL AND {_BARE.format('p')} IS NOT NULL GROUP BY 1),
+pair AS (SELECT DISTINCT {_BARE.format('c')} AS c, {_BARE.format('p')} AS p FROM raw WHERE {_BARE.format('c')} IS NOT NULL AND {_BARE.format('p')} IS NOT NULL),
+link AS (SELECT c, min(p) AS p FROM pair GROUP BY 1),
 node AS (SELECT c AS id FROM link UNION SELECT p FROM link),
-down AS (SELECT id, id AS root_id, 0 AS tree_depth FROM node WHERE id NOT IN (SELECT c FROM link) UNION ALL SELECT l.c, d.root_id, d.tree_depth + 1 FROM down d JOIN link l ON l.p = d.id),
+down AS (SELECT id, id AS root_id, 0 AS tree_depth, id AS tree_path FROM node WHERE id NOT IN (SELECT c FROM link)
+  UNION ALL SELECT l.c, d.root_id, d.tree_depth + 1, d.tree_path || '/' || l.c FROM down d JOIN link l ON l.p = d.id),
+below AS (SELECT l.p AS id, l.c AS descendant, 1 AS steps FROM link l JOIN down d ON d.id = l.c UNION ALL SELECT b.id, l.c, b.steps + 1 FROM below b JOIN link l ON l.p = b.descendant),
 lost AS (SELECT id FROM node WHERE id NOT IN (SELECT id FROM down)),
 up AS (SELECT id, p AS x FROM lost JOIN link ON c = id UNION SELECT up.id, l.p FROM up JOIN link l ON l.c = up.x),
-ring AS (SELECT id FROM up WHERE id = x)
-SELECT id, root_id, tree_depth FROM down
-UNION ALL SELECT up.id, min(x), CASE WHEN up.id IN (SELECT id FROM ring) THEN -1 ELSE -2 END FROM up WHERE x IN (SELECT id FROM ring) GROUP BY up.id"""
+ring AS (SELECT id FROM up WHERE id = x),
+every AS (SELECT id, root_id, tree_depth, tree_path FROM down
+  UNION ALL SELECT up.id, min(x), CASE WHEN up.id IN (SELECT id FROM ring) THEN -1 ELSE -2 END, NULL FROM up WHERE x IN (SELECT id FROM ring) GROUP BY up.id)
+"""
+ORACLE["p6_found"] = _LINKS + "SELECT id, root_id, tree_depth FROM every"
+ORACLE["p6_tree"] = _LINKS + f"""SELECT every.id, root_id, tree_depth, tree_path, CASE WHEN tree_depth >= 0 THEN (SELECT count(*) FROM below WHERE below.id = every.id) END AS n_descendants, flagged
+FROM every LEFT JOIN (SELECT {_BARE.format('ent_idx')} AS i, bool_or(is_subclass) AS flagged FROM entity_stats GROUP BY 1) f ON f.i = every.id"""
+ORACLE["p6_descendants"] = _LINKS + "SELECT id, descendant, steps FROM below"
+ORACLE["p6_other_parents"] = _LINKS + "SELECT pair.c AS id, pair.p AS parent FROM pair JOIN link USING (c) WHERE pair.p <> link.p"

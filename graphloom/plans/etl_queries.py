@@ -90,11 +90,11 @@ def text_function_words(spark, d):
 _TARGET = "'(list (description \"' || coalesce(enlabel, '') || '\") (description ' || id || '))'"
 
 
-@query("SELECT row_id, pos - 1 AS pos, answer FROM (SELECT row_id, unnest([regexp_replace(coalesce(enlabel, ''), '[()]', '', 'g'), id]) AS answer, unnest([1, 2]) AS pos FROM lexicon_base WHERE id NOT LIKE ' %' AND id NOT LIKE '% ' AND coalesce(enlabel, '') NOT LIKE '%\"%' AND trim(enlabel, ' ') = enlabel)")
+@query(f"""SELECT row_id, pos - 1 AS pos, regexp_replace(trim(x, ' '), '^"|"$', '', 'g') AS answer FROM (
+  SELECT row_id, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM (SELECT row_id, regexp_extract_all({_TARGET}, '\\(description ([^()]*)\\)', 1) AS l FROM lexicon_base))""")
 def text_answers_description(spark, d):
-    base = table(spark, d, "lexicon_base").filter("id NOT LIKE ' %' AND id NOT LIKE '% ' AND coalesce(enlabel, '') NOT LIKE '%\"%' AND trim(enlabel) = enlabel")
-    target = F.concat(F.lit('(list (description "'), F.regexp_replace(F.coalesce("enlabel", F.lit("")), "[()]", ""), F.lit('") (description '), F.col("id"), F.lit("))"))
-    return base.select("row_id", F.posexplode(T.answers_description(target)).alias("pos", "answer"))
+    target = F.concat(F.lit('(list (description "'), F.coalesce("enlabel", F.lit("")), F.lit('") (description '), F.col("id"), F.lit("))"))
+    return table(spark, d, "lexicon_base").select("row_id", F.posexplode(T.answers_description(target)).alias("pos", "answer"))
 
 
 @query("SELECT path_id, unnest(string_split(array_to_string(path_ids, ','), ',')) AS answer FROM statement_paths")
@@ -102,9 +102,9 @@ def text_answers_comma(spark, d):
     return table(spark, d, "statement_paths").select("path_id", F.explode(T.answers_comma(F.array_join("path_ids", ","))).alias("answer"))
 
 
-@query("SELECT path_id, 'http://kg/entity/' || item_id AS iri, item_id AS tail FROM statement_paths WHERE item_id IS NOT NULL AND item_id NOT LIKE '%/%'")
+@query("SELECT path_id, 'http://kg/entity/' || item_id AS iri, string_split('http://kg/entity/' || item_id, '/')[-1] AS tail FROM statement_paths")
 def text_iri_tail(spark, d):
-    rows = table(spark, d, "statement_paths").filter("item_id IS NOT NULL AND item_id NOT LIKE '%/%'").select("path_id", F.concat(F.lit("http://kg/entity/"), "item_id").alias("iri"))
+    rows = table(spark, d, "statement_paths").select("path_id", F.concat(F.lit("http://kg/entity/"), "item_id").alias("iri"))
     return rows.withColumn("tail", T.iri_tail(F.col("iri")))
 
 
@@ -174,7 +174,7 @@ def etl_plural(spark, d):
     return words.select("word", T.plural(F.col("word")).alias("plural"))
 
 
-_TITLE = "array_to_string(list_transform(regexp_extract_all(label, '[\\p{Lu}\\p{Ll}\\p{Lt}]+|[^\\p{Lu}\\p{Ll}\\p{Lt}]+'), lambda x: upper(x[1]) || lower(x[2:])), '')"
+_TITLE = "array_to_string(list_transform(regexp_extract_all(label, '[\\p{Lu}\\p{Ll}\\p{Lt}\\x{2160}-\\x{217F}\\x{24B6}-\\x{24E9}]+|[^\\p{Lu}\\p{Ll}\\p{Lt}\\x{2160}-\\x{217F}\\x{24B6}-\\x{24E9}]+'), lambda x: upper(x[1]) || lower(x[2:])), '')"
 _LABEL_PLURAL = f"CASE WHEN label = enlabel AND label NOT LIKE '% %' AND label <> '' THEN {_PLURAL.replace('w LIKE', 'label LIKE').replace('w[', 'label[').replace('w ||', 'label ||')} END"
 _LABEL_ROWS = "SELECT DISTINCT row_id, label, enlabel, id, rank_order FROM (SELECT row_id, enlabel, id, rank_order, unnest([enlabel, frlabel] || coalesce(fraliase, [])) AS label FROM base) WHERE label IS NOT NULL"
 

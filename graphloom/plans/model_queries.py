@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.kb import KnowledgeBase
 from graphloom.kb.compiler import column_of
 from graphloom.lang.parser import parse, standard_context
 from graphloom.lang.terms import Lam, Var, substitute
 from graphloom.parsing import vectors as V
-from graphloom.parsing.parser import QuestionParser
-from graphloom.session import table
+from graphloom.parsing.parser import QuestionParser, answers_by_shape
+from graphloom.session import scratch, table
 from graphloom.text import tokenizer
 from graphloom.trees import tables
 from graphloom.trees import tree as T
@@ -163,6 +164,94 @@ def parse_questions(spark, d):
     return QuestionParser().predict(tokens).select("qid", "term", F.round("p", 6).alias("p"))
 
 
+_ASKED = "SELECT c_custkey AS qid, 'Q2' || lpad(c_nationkey::VARCHAR, 9, '0') AS q FROM customer"
+
+
+def _asked(spark, d):
+    """A question for every customer."""
+    return _tokens(table(spark, d, "customer"))
+
+
+def _tokens(t: DataFrame) -> DataFrame:
+    """Tokens of questions 'Quel P2 <nation>': which customers are of it."""
+    t = t.select(F.col("c_custkey").alias("qid"), F.concat(F.lit("Q2"), F.lpad(F.col("c_nationkey").cast("string"), 9, "0")).alias("q"))
+    words = F.array(*(F.struct(F.lit(i).alias("pos"), form.alias("form"), macro.alias("macro")) for i, (form, macro) in enumerate([(F.lit("Quel"), F.lit("WHQ")), (F.lit("client"), F.lit("P2")), (F.col("q"), F.col("q"))])))
+    return t.select("qid", F.explode(words).alias("w")).select("qid", "w.*")
+
+
+# what the grammar makes of the three tokens, each derivation once: type, term, its actions and their display
+_DERIVED = """SELECT qid, unnest(l, recursive := true) FROM (SELECT qid, [
+  {'ltype': 'function', 'term': '(lambda (P:e=>t) (@exists (x:e) (P x)))', 'steps': 'S D D', 'display': '(S Quel)'},
+  {'ltype': 'function', 'term': 'wdt:P2', 'steps': 'D S D', 'display': '(S client)'},
+  {'ltype': '⊥', 'term': 'wdt:P2', 'steps': 'D U D', 'display': '(U client)'},
+  {'ltype': 'function', 'term': '(lambda (x:e) (lambda (y:e) (wdt:P2 y x)))', 'steps': 'D U[SWAP] D', 'display': '(U[SWAP] client)'},
+  {'ltype': 'function', 'term': 'wd:' || q, 'steps': 'D D S', 'display': '(S ' || q || ')'},
+  {'ltype': 'function', 'term': '(lambda (x:e) (exists (y:e) (and (wdt:P2 x y) (wd:' || q || ' y))))', 'steps': 'D S S >[JOIN]', 'display': '(>[JOIN] (S client) (S ' || q || '))'},
+  {'ltype': 'function', 'term': '(lambda (x:e) (exists (y:e) (and (wdt:P2 y x) (wd:' || q || ' y))))', 'steps': 'D U[SWAP] S >[JOIN]', 'display': '(>[JOIN] (U[SWAP] client) (S ' || q || '))'},
+  {'ltype': 't', 'term': '(@exists (x:e) (wd:' || q || ' x))', 'steps': 'S D S >', 'display': '(> (S Quel) (S ' || q || '))'},
+  {'ltype': 't', 'term': '(@exists (x:e) (exists (y:e) (and (wdt:P2 x y) (wd:' || q || ' y))))', 'steps': 'S S S >[JOIN] >', 'display': '(> (S Quel) (>[JOIN] (S client) (S ' || q || ')))'},
+  {'ltype': 't', 'term': '(@exists (x:e) (exists (y:e) (and (wdt:P2 y x) (wd:' || q || ' y))))', 'steps': 'S U[SWAP] S >[JOIN] >', 'display': '(> (S Quel) (>[JOIN] (U[SWAP] client) (S ' || q || ')))'}] AS l FROM (""" + _ASKED + "))"
+
+
+@query(_DERIVED)
+def parse_derivations(spark, d):
+    """All derivations of short questions with the actions that lead to them and the trees that show them."""
+    got = QuestionParser().derivations(_asked(spark, d)).filter("status = 'ok'")
+    return got.select("qid", "ltype", "term", F.array_join("steps", " ").alias("steps"), "display")
+
+
+@query(f"SELECT qid, s[i] AS y, count(*) AS n FROM (SELECT qid, string_split(steps, ' ') AS s FROM ({_DERIVED})), (SELECT unnest([1, 2, 3, 4, 5]) AS i) WHERE i <= len(s) GROUP BY ALL")
+def parse_actions(spark, d):
+    """How often each action is taken in a question's derivations, from their feature vectors: three features at each step."""
+    got = QuestionParser().derivations(_asked(spark, d)).select("qid", "deriv", F.explode("features").alias("f")).select("qid", "deriv", "f.*")
+    ahead = got.filter(F.get("x", F.lit(0)) == "B")  # one feature a step looks ahead
+    return ahead.groupBy("qid", "y").agg(F.sum("n").alias("n"))
+
+
+@query(f"SELECT x, y, count(*) AS n FROM (SELECT CASE i WHEN 1 THEN 'B|Quel|client' WHEN 2 THEN 'B|client|' || q WHEN 3 THEN 'B|' || q || '|#END#' ELSE 'B|#END#' END AS x, s[i] AS y FROM (SELECT a.q, string_split(steps, ' ') AS s FROM ({_DERIVED}) JOIN ({_ASKED}) a USING (qid)), (SELECT unnest([1, 2, 3, 4, 5]) AS i) WHERE i <= len(s)) GROUP BY ALL")
+def parse_features(spark, d):
+    """Features of the tokens ahead, with the action taken, over all derivations."""
+    got = QuestionParser().derivations(_asked(spark, d)).select(F.explode("features").alias("f")).select("f.*").filter(F.get("x", F.lit(0)) == "B")
+    return got.groupBy(F.array_join("x", "|").alias("x"), "y").agg(F.sum("n").alias("n"))
+
+
+@query(f"SELECT qid, term, 0.333333 AS p FROM (SELECT qid, '(@exists (x:e) (exists (y:e) (and (wdt:P2 x y) (wd:' || q || ' y))))' AS term FROM ({_ASKED}))")
+def parse_weighted(spark, d):
+    """The best derivation under weights that favour shifting everything and joining; probabilities among the derivations of type t."""
+    heavy = {(("B", "#END#"), ">[JOIN]"): 0.0, (("S", "#START#"), "S"): 3.0}
+    parser = QuestionParser(heavy)
+    got = V.probabilities(parser.derivations(_asked(spark, d)).filter("ltype = 't'"))
+    # all three shift the question word first, so they share what it brings
+    best = got.filter(F.array_join("steps", " ") == "S S S >[JOIN] >")
+    return best.select("qid", "term", F.round("p", 6).alias("p"))
+
+
+@query("SELECT c_nationkey AS qid, 'Q' || (3000000000 + c_custkey) AS answer FROM customer")
+def parse_answers(spark, d):
+    """Answers of a question on every nation, from the derivation 'which x has P2 y, y being the nation', all in one join."""
+    t = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_custkey"), F.col("n_nationkey").alias("c_nationkey"))
+    derived = QuestionParser().derivations(_tokens(t)).filter(F.array_join("steps", " ") == "S S S >[JOIN] >")
+    return answers_by_shape(derived.select("qid", "deriv", "term", "shape"), KnowledgeBase.from_tables(spark, d)).select("qid", "answer")
+
+
+@query("SELECT c_custkey AS qid, 'no_parse' AS status, -1 AS deriv FROM customer")
+def parse_failures(spark, d):
+    """Questions without any word that means something have no parse."""
+    words = _asked(spark, d).withColumn("macro", F.lit(None).cast("string"))
+    return QuestionParser().derivations(words).select("qid", "status", "deriv")
+
+
+@query("SELECT l_returnflag || '|' || l_linestatus AS x, CAST(l_linenumber AS VARCHAR) AS y, round(sum(CASE WHEN l_linenumber <= 5 THEN l_discount ELSE 0 END) + 0.5 * sum(CASE WHEN l_linenumber >= 3 THEN l_tax ELSE 0 END), 6) AS w FROM lineitem GROUP BY ALL")
+def crf_step(spark, d):
+    a, b = _vectors(spark, d)
+    return _flat(V.step(a, b, 0.5))
+
+
+@query(f"SELECT round(sum(ln(p)), 4) AS log_likelihood FROM ({_P}) WHERE correct")
+def crf_log_likelihood(spark, d):
+    return V.log_likelihood(V.probabilities(_derivations(spark, d))).select(F.round("log_likelihood", 4).alias("log_likelihood"))
+
+
 def _trees(spark, d):
     t = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return t.select("n_nationkey", F.concat(F.lit("(S (NP-SBJ (N "), "n_name", F.lit(")) (VP (V in) (NP (D the) (N "), F.replace("r_name", F.lit(" "), F.lit("_")), F.lit("))) (CD "), F.col("n_nationkey").cast("string"), F.lit(",5))")).alias("tree"))
@@ -215,3 +304,42 @@ def tree_split(spark, d):
 @query("SELECT n_nationkey, '(S (S: (NP-SBJ (N ' || n_name || ')) (VP (V in) (NP (D the) (N ' || replace(r_name, ' ', '_') || ')))) (CD ' || n_nationkey || ',5))' AS left_tree, '(S (NP-SBJ@N ' || n_name || ') (VP (V in) (NP (D the) (N ' || replace(r_name, ' ', '_') || '))) (CD ' || n_nationkey || ',5))' AS closed FROM nation JOIN region ON n_regionkey = r_regionkey")
 def tree_markovize(spark, d):
     return _trees(spark, d).select("n_nationkey", tables.transformed(F.col("tree"), T.markovize).alias("left_tree"), tables.transformed(F.col("tree"), T.close_unaries).alias("closed"))
+
+
+_LEAVES = "n_nationkey, n_name AS a, replace(r_name, ' ', '_') AS b FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+@query(f"SELECT n_nationkey, '(S (NP-SBJ ' || a || ') (VP in (NP the ' || b || ')) ' || n_nationkey || ',5)' AS stripped, '(S (NP-SBJ (T0 ' || a || ')) (VP (T1 in) (NP (T2 the) (T3 ' || b || '))) (T4 ' || n_nationkey || ',5))' AS tagged FROM (SELECT {_LEAVES})")
+def tree_tags(spark, d):
+    """Trees without their tags, and with others put above the leaves."""
+    tag = lambda t: T.add_tags(T.strip_tags(t), (f"T{i}" for i in range(9)))
+    return _trees(spark, d).select("n_nationkey", tables.transformed(F.col("tree"), T.strip_tags).alias("stripped"), tables.transformed(F.col("tree"), tag).alias("tagged"))
+
+
+@query(f"SELECT n_nationkey, '(S (NP-SBJ (N ' || a || ')) (S: (VP (V in) (NP (D the) (N ' || b || '))) (CD ' || n_nationkey || ',5)))' AS right_tree, true AS same_again, true AS opened_again FROM (SELECT {_LEAVES})")
+def tree_binary_and_back(spark, d):
+    """Right-branching trees; what was made binary or closed comes back as it was."""
+    right = tables.transformed(F.col("tree"), lambda t: T.markovize(t, left=False))
+    back = tables.transformed(F.col("tree"), lambda t: T.unbinarize(T.markovize(t, left=False)))
+    again = tables.transformed(F.col("tree"), lambda t: T.expand_unaries(T.close_unaries(t)))
+    return _trees(spark, d).select("n_nationkey", right.alias("right_tree"), (back == F.col("tree")).alias("same_again"), (again == F.col("tree")).alias("opened_again"))
+
+
+@query(f"SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '(S (NP (N ' || a || ')) (NP (N ' || b || ')))' ELSE '(S (NP (N ' || a || ')))' END AS tree FROM (SELECT {_LEAVES})")
+def tree_traces(spark, d):
+    """Trees without traces and what they leave empty, labels without decoration."""
+    t = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    other = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("(NP=2 (N "), F.replace("r_name", F.lit(" "), F.lit("_")), F.lit("))"))).otherwise("(VP (NP (-NONE- *T*)))")
+    text = F.concat(F.lit("(S (NP-SBJ-1 (N "), "n_name", F.lit(")) "), other, F.lit(")"))
+    return t.select("n_nationkey", tables.transformed(text, lambda x: T.strip_decoration(T.strip_traces(x))).alias("tree"))
+
+
+@query(f"SELECT '(S (NP ' || a || ') (CD ' || n_nationkey || '))' AS tree, CASE WHEN n_nationkey BETWEEN 2 AND 21 THEN 'train' WHEN n_nationkey = 24 THEN 'dev' WHEN n_nationkey = 23 THEN 'test' END AS split, a || ' ' || n_nationkey AS raw FROM (SELECT {_LEAVES}) WHERE n_nationkey BETWEEN 2 AND 21 OR n_nationkey IN (23, 24)")
+def tree_directory(spark, d):
+    """A directory of trees that run over lines, read, flattened, and written and read by split."""
+    at, out = scratch(spark), scratch(spark)
+    rows = table(spark, d, "nation").select(F.concat(F.lit("(S\n  (NP "), "n_name", F.lit(")\n  (CD "), F.col("n_nationkey").cast("string"), F.lit("))")).alias("v"))
+    rows.repartition(3).write.text(at)
+    trees = tables.read_directory(spark, at).select("tree", F.regexp_extract("tree", r"\(CD (\d+)\)", 1).cast("int").alias("n"))
+    tables.write_split(trees, "n", "tree", out)
+    return spark.read.schema("tree string, raw string, split string").json(out)

@@ -68,3 +68,8 @@ def test_long_circle_alone(spark):
 def test_empty(spark):
     _, sets = run(spark, [])
     assert sets.count() == 0
+
+
+def test_other_parents(spark):
+    df = spark.createDataFrame([("a", "r"), ("a", "s"), ("a", "s"), ("b", "r"), (None, "r"), ("c", None)], "c string, p string")
+    assert [tuple(r) for r in H.other_parents(df, "c", "p").collect()] == [("a", "s")]
