@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,4 +98,23 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_unified, p4_found, p4_rates, p8_packed, p8_room, p9_drawn, p9_shares, p10_pieces)}
-ORACLE: dict[str, str] = {}
+
+
+def _folds() -> str:
+    """The code points that form NFKC replaces, with what it puts there, as a SQL table (k, t)."""
+    found = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    found = [(k, t) for k, t in found if k != t]
+    text = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+    return f"SELECT unnest({text(k for k, _ in found)}) AS k, unnest({text(t for _, t in found)}) AS t"
+
+
+_TERMS = f"""WITH m AS ({_folds()}),
+vals AS (SELECT row_id, unnest([enlabel, frlabel] || coalesce(fraliase, [])) AS v FROM lexicon_base),
+one AS (SELECT v, string_split(v, '') AS l FROM (SELECT DISTINCT v FROM vals WHERE v <> '')),
+ch AS (SELECT v, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM one),
+fold AS (SELECT v, lower(nfc_normalize(string_agg(coalesce(m.t, ch.c), '' ORDER BY i))) AS f FROM ch LEFT JOIN m ON m.k = ch.c GROUP BY v),
+occ AS (SELECT row_id, unnest(regexp_extract_all(f, '[\\p{{L}}\\p{{N}}\\p{{M}}]+')) AS term FROM vals JOIN fold USING (v)),
+terms AS (SELECT term, count(*) AS n_occ, count(DISTINCT row_id) AS n_rows FROM occ GROUP BY term),
+marked AS (SELECT *, CASE WHEN n_rows <= 2 THEN 'rare' WHEN n_rows > 0.03 * (SELECT count(*) FROM lexicon_base) THEN 'common' END AS mark FROM terms)
+"""
+ORACLE: dict[str, str] = {"p1_terms": _TERMS + "SELECT * FROM marked", "p1_found": _TERMS + "SELECT * FROM marked WHERE mark IS NOT NULL"}
