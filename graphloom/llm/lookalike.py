@@ -135,7 +135,7 @@ def rewriting(classes: Classes, counts: dict[str, int]) -> tuple[dict[str, str],
 def _alphabet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import regex
 
-    marks = regex.compile(r"\P{M}\p{M}+")
+    marks = regex.compile(r"\P{M}\p{M}")  # one mark: longer runs come together by composing the text
     seen: Counter[str] = Counter()
     for batch in batches:
         for values in batch.column(0).to_pylist():
@@ -164,6 +164,9 @@ class Rewriter:
         self.shared = {m for t in by_script.values() for m in t} | {f for t in by_script.values() for f in t.values()}
         self.words = regex.compile(r"[\p{L}\p{M}]+")
         self.kind: dict[str, str] = {}
+        # a text without any of these, and composed, is in its one form
+        signs = "".join(regex.escape(c, special_only=False) for c in sorted({s for s in everywhere if len(s) == 1}))
+        self.doubtful = regex.compile(rf"[{signs}\p{{Script=Cyrillic}}\p{{Script=Greek}}\p{{Script=Armenian}}\p{{M}}]")
 
     def script(self, ch: str) -> str:
         if ch not in self.kind:
@@ -192,7 +195,7 @@ class Rewriter:
         return unicodedata.category(ch) in ("So", "Sk") or (ch.isalpha() or unicodedata.category(ch)[0] == "M") and self.script(ch) not in (*_SCRIPTS, "CJK", "")
 
     def __call__(self, text: str) -> str:
-        if text.isascii():
+        if text.isascii() or not self.doubtful.search(text) and unicodedata.is_normalized("NFC", text):
             return text
         text = self._plain(text)
         if text.isascii():
@@ -227,7 +230,7 @@ def unify(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     another. pos is the index in an array, from 0 and counting nulls, 0 elsewhere. The empty text is its own
     form. Repeated rows give theirs again, an empty table gives none.
 
-    What comes to the driver is the alphabet: one row a code point, or composable letter with marks, in use.
+    What comes to the driver is the alphabet: one row a code point, or composable letter with one mark, in use.
     """
     kinds = dict(df.dtypes)
     many = [kinds[f].startswith("array") for f in fields]
