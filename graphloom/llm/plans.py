@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import cut_texts, lookalike, mixing, packing, splitting, terms
@@ -97,7 +97,38 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "documents"), "doc_id", "text", _limits(spark, d, "split_"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_unified, p4_found, p4_rates, p8_packed, p8_room, p9_drawn, p9_shares, p10_pieces)}
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each container size: the documents placed, containers above it, and documents that fit but were split."""
+    limits = table(spark, d, "size_limits").select(F.col("use_name").alias("u"), "max_tokens")
+    packed = cut(p8_packed(spark, d))
+    docs = packed.groupBy("use_name", "doc_id").agg(F.count("*").alias("pieces"), F.sum("piece_size").alias("n")).join(F.broadcast(limits), F.col("use_name") == F.col("u"))
+    docs = docs.groupBy("use_name").agg(F.count("*").alias("n_docs"), F.sum(((F.col("pieces") > 1) & (F.col("n") <= F.col("max_tokens"))).cast("long")).alias("n_split"))
+    room = packed.groupBy(F.col("use_name").alias("r"), "container_id").agg(F.sum("piece_size").alias("n")).join(F.broadcast(limits), F.col("r") == F.col("u"))
+    room = room.groupBy("r").agg(F.sum((F.col("n") > F.col("max_tokens")).cast("long")).alias("n_over"))
+    return docs.join(room, F.col("use_name") == F.col("r")).select("use_name", "n_docs", "n_split", "n_over")
+
+
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each source: documents used more often than allowed, and uses of documents that aren't its own."""
+    weights = table(spark, d, "source_weights").select("src_name", "max_repeats")
+    drawn = p9_drawn(spark, d)
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("i"), "source")
+    uses = drawn.join(own, F.col("doc_id") == F.col("i"), "left").groupBy(F.col("src_name").alias("s"), "doc_id").agg(F.count("*").alias("n"), F.sum((~F.col("source").eqNullSafe(F.col("src_name"))).cast("long")).alias("strange"))
+    got = uses.join(F.broadcast(weights.withColumnRenamed("src_name", "w")), F.col("s") == F.col("w")).groupBy("s").agg(F.sum((F.col("n") > F.col("max_repeats")).cast("long")).alias("over"), F.sum("strange").alias("strange"))
+    return weights.join(got, F.col("src_name") == F.col("s"), "left").select("src_name", F.coalesce("over", F.lit(0)).alias("n_over"), F.coalesce("strange", F.lit(0)).alias("n_strange"))
+
+
+def p10_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each piece limit: documents with pieces, pieces above it, places where consecutive pieces share less than the overlap."""
+    limits = table(spark, d, "size_limits").select(F.col("use_name").alias("u"), "max_tokens", "overlap_tokens")
+    pieces = p10_pieces(spark, d).select("use_name", "doc_id", "piece_no", "start_token", "end_token", "n_tokens").join(F.broadcast(limits), F.col("use_name") == F.col("u"))
+    before = F.lag("end_token").over(Window.partitionBy("use_name", "doc_id").orderBy("piece_no"))
+    pieces = pieces.withColumn("shared", before - F.col("start_token"))
+    first = (F.col("piece_no") == 0) & (F.col("start_token") == 0)
+    return pieces.groupBy("use_name").agg(F.sum(first.cast("long")).alias("n_docs"), F.sum((F.col("n_tokens") > F.col("max_tokens")).cast("long")).alias("n_over"), F.sum(F.coalesce((F.col("shared") < F.col("overlap_tokens")).cast("long"), F.lit(0))).alias("n_short"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_unified, p4_found, p4_rates, p8_packed, p8_room, p9_drawn, p9_shares, p10_pieces, p8_invariants, p9_invariants, p10_invariants)}
 
 
 def _folds() -> str:
@@ -118,3 +149,8 @@ terms AS (SELECT term, count(*) AS n_occ, count(DISTINCT row_id) AS n_rows FROM
 marked AS (SELECT *, CASE WHEN n_rows <= 2 THEN 'rare' WHEN n_rows > 0.03 * (SELECT count(*) FROM lexicon_base) THEN 'common' END AS mark FROM terms)
 """
 ORACLE: dict[str, str] = {"p1_terms": _TERMS + "SELECT * FROM marked", "p1_found": _TERMS + "SELECT * FROM marked WHERE mark IS NOT NULL"}
+ORACLE |= {
+    "p8_invariants": "SELECT use_name, (SELECT count(*) FROM documents) AS n_docs, 0 AS n_split, 0 AS n_over FROM size_limits WHERE use_name LIKE 'pack%'",
+    "p9_invariants": "SELECT src_name, 0 AS n_over, 0 AS n_strange FROM source_weights",
+    "p10_invariants": "SELECT use_name, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, 0 AS n_over, 0 AS n_short FROM size_limits WHERE use_name LIKE 'split%'",
+}
