@@ -23,11 +23,13 @@ class KnowledgeBase:
     """Queries over distinct triples (s, p, o, o_num, o_str, o_date).
 
     Each property of a query is a scan of the triples filtered on p; triples stored with partitionBy('p') are
-    pruned to it. limit=None returns all answers; with a limit they are ordered first, so the same ones come back.
+    pruned to it. limit=None returns all answers; with a limit they are ordered first, so the same ones come back. Formulas whose parts
+    share no variable are refused unless `products` allows all combinations.
     """
 
-    def __init__(self, triples: DataFrame, context: Context | None = None, labels: DataFrame | None = None) -> None:
+    def __init__(self, triples: DataFrame, context: Context | None = None, labels: DataFrame | None = None, products: bool = False) -> None:
         self.triples = triples
+        self.products = products
         self.context = context or standard_context()
         self.labels = labels
 
@@ -39,7 +41,7 @@ class KnowledgeBase:
 
     def bindings(self, text: str | Term, mark: str = "all") -> DataFrame:
         """All bindings of the answer variables, repeated as often as the formula holds."""
-        rows, answers, scope = compile_formula(self.term(text, mark), self.triples)
+        rows, answers, scope = compile_formula(self.term(text, mark), self.triples, self.products)
         if rows is None:
             kinds = {"e": "string", "num": "double", "s": "string", "d": "date"}
             return self.triples.sparkSession.createDataFrame([], ", ".join(f"{a} {kinds[scope.types[a]]}" for a in answers))
@@ -67,7 +69,7 @@ class KnowledgeBase:
 
     def ask(self, text: str | Term) -> DataFrame:
         """One row: whether the formula holds at all."""
-        rows, _, _ = compile_formula(self.term(text), self.triples)
+        rows, _, _ = compile_formula(self.term(text), self.triples, self.products)
         spark = self.triples.sparkSession
         if rows is None:
             return spark.range(1).select(F.lit(False).alias("answer"))

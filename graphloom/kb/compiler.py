@@ -85,8 +85,9 @@ def _vars(term: Term) -> frozenset[str]:
 
 
 class Compiler:
-    def __init__(self, triples: DataFrame) -> None:
+    def __init__(self, triples: DataFrame, products: bool = False) -> None:
         self.triples = triples
+        self.products = products
         self.scope = Scope({}, [])
 
     def open(self, term: Term) -> Term:
@@ -172,8 +173,10 @@ class Compiler:
                 out = rel
             elif shared:
                 out = out.join(rel, shared)
-            else:  # two parts of the formula that share nothing: all their combinations are its answers
+            elif self.products:  # two parts of the formula that share nothing: all their combinations are its answers
                 out = out.crossJoin(rel)
+            else:
+                raise Unsafe("parts of the formula share no variable: all their combinations would be its answers; products=True allows that")
             have |= atom.vars
         for v, name in fixed.items():
             if v not in have:
@@ -205,12 +208,13 @@ class Compiler:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
-def compile_formula(term: Term, triples: DataFrame) -> tuple[DataFrame | None, list[str], Scope]:
-    """(bindings, answer columns, scope) of a closed formula. Without a marked variable all outer ones are answers."""
+def compile_formula(term: Term, triples: DataFrame, products: bool = False) -> tuple[DataFrame | None, list[str], Scope]:
+    """(bindings, answer columns, scope) of a closed formula. Without a marked variable all outer ones are answers. A formula
+    whose parts share no variable is Unsafe unless `products` allows all their combinations."""
     term = normalise(term)
     if typecheck(term) != BOOL:
         raise TypeFailure("a query must be of type t")
-    c = Compiler(triples)
+    c = Compiler(triples, products)
     outer = c.open(term)
     names = list(c.scope.types)
     rows = c.union(c.disjuncts(outer))

@@ -267,9 +267,14 @@ class QuestionParser:
         """(n_questions, n_correct, accuracy): questions whose best derivation of type t gives an answer of gold (qid, answer), among
         all questions of `tokens`, those without a parse being wrong."""
         best = cut(self.predict(tokens))
-        right = answers(best).join(gold.select("qid", "answer"), ["qid", "answer"], "left_semi").select("qid").distinct()
-        n, good = tokens.agg(F.count_distinct("qid").alias("n_questions")), right.agg(F.count("*").alias("n_correct"))
-        return n.join(F.broadcast(good)).withColumn("accuracy", F.coalesce(F.try_divide("n_correct", "n_questions"), F.lit(0.0)))  # a row each
+        right = answers(best)
+        asked = tokens.select("qid").distinct()
+        if right is not None:
+            good = right.join(gold.select("qid", "answer"), ["qid", "answer"], "left_semi").select("qid").distinct().withColumn("good", F.lit(1))
+            asked = asked.join(good, "qid", "left")
+        else:
+            asked = asked.withColumn("good", F.lit(None).cast("int"))
+        return asked.agg(F.count("*").alias("n_questions"), F.count("good").alias("n_correct")).withColumn("accuracy", F.coalesce(F.try_divide("n_correct", "n_questions"), F.lit(0.0)))
 
     def train_and_test(self, train: DataFrame, test: DataFrame, answers: Callable[[DataFrame], DataFrame], gold: DataFrame, epochs: int = 5, rate: float = 1.0) -> dict:
         """Weights from one set of questions, accuracy on both: {'log_likelihood': one an epoch, 'train': accuracy, 'test': accuracy}."""
