@@ -18,6 +18,8 @@ KINDS = ("heading", "paragraph", "line", "sentence", "word", "token")
 #: What a cut of each kind costs, and a piece that is off the even size by the whole limit.
 PENALTY = np.array([0.0, 0.3, 0.8, 1.2, 6.0, 20.0])
 UNEVEN = 4.0
+#: Boundaries whose pieces are weighed at a time.
+BLOCK = 64
 
 # Words that end in a point without ending a sentence.
 ABBREVIATIONS = ("p. ex", "cf", "etc", "anc", "env", "fig", "no", "vol", "art", "av", "apr", "chap", "éd", "m", "mm", "mme", "mlle", "dr", "st", "ste", "mr", "mrs", "vs", "e.g", "i.e", "z. b", "bzw", "usw", "nr", "ca", "approx")
@@ -47,17 +49,22 @@ class Splitter:
     def boundaries(self, text: str) -> list[tuple[int, int, int]]:
         """(from, to, kind): spans of characters in which a cut is at a boundary of that kind."""
         out = []
+        heading, words = self.heading.match, self.words.search
         for m in self.lines.finditer(text):
-            head = self.heading.match(text, m.end())
-            out.append((m.start(), m.end(), 0 if head else 1 if m.group(2) else 2))
+            start, end = m.span()
+            out.append((start, end, 0 if heading(text, end) else 1 if m.start(2) >= 0 else 2))
         for m in self.ends.finditer(text):
-            end, gap = m.end(), m.group(2) or ""
-            if m.group(1) == ".":
-                before = self.words.search(text, 0, m.start())
+            end = m.end()
+            at, to = m.span(1)
+            if to - at == 1 and text[at] == ".":
+                if text[end].islower():
+                    continue
+                before = words(text, 0, at)
                 word = before.group().lower() if before else ""
-                if text[end].islower() or word in self.short or (len(word) == 1 and word.isalpha()) or (word[-2:-1] == "." and word[-1:].isalpha()):
+                if word in self.short or (len(word) == 1 and word.isalpha()) or (word[-2:-1] == "." and word[-1:].isalpha()):
                     continue
-            out.append((end - len(gap), end, 3))
+            gap = m.start(2)
+            out.append((gap if gap >= 0 else end, end, 3))
         return out
 
     def read(self, text: str) -> tuple:
@@ -119,15 +126,17 @@ class Splitter:
         first = np.searchsorted(begin, c - limit, side="left").tolist()  # begin never falls
         ends = (c - even) / limit
         scaled = begin / limit
-        for j in range(1, len(c)):
-            lo = first[j]
-            if lo < j:
-                off = ends[j] - scaled[lo:j]
-                total = cost[lo:j] + UNEVEN * off * off
-                if banned and int(c[j]) in banned:
-                    total[np.isin(begin[lo:j], list(banned[int(c[j])]))] = np.inf
-                b = int(total.argmin())
-                cost[j], last[j] = total[b] + penalty[j], lo + b
+        for j0 in range(1, len(c), BLOCK):
+            j1, low = min(len(c), j0 + BLOCK), first[j0]
+            uneven = UNEVEN * np.square(ends[j0:j1, None] - scaled[None, low:j1])  # of every piece that ends in this block
+            for j in range(j0, j1):
+                lo = first[j]
+                if lo < j:
+                    total = cost[lo:j] + uneven[j - j0, lo - low : j - low]
+                    if banned and int(c[j]) in banned:
+                        total[np.isin(begin[lo:j], list(banned[int(c[j])]))] = np.inf
+                    b = int(total.argmin())
+                    cost[j], last[j] = total[b] + penalty[j], lo + b
         if not np.isfinite(cost[-1]):
             return None
         out, j = [], len(c) - 1
