@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from graphloom import sources
 from graphloom.etl import dump, lexicon, pipeline
@@ -204,7 +204,7 @@ def _forms():
     return out
 
 
-@F.pandas_udf("status string, type string, shown string, closed boolean")
+@F.pandas_udf(StructType([StructField("status", StringType()), StructField("type", StringType()), StructField("shown", StringType()), StructField("closed", BooleanType())]))
 def _read_term(texts: pd.Series) -> pd.DataFrame:
     out = []
     for t in texts:

@@ -117,3 +117,13 @@ def test_any_class_of_humans(spark):
     assert [r["id"] for r in dump.humans(items).collect()] == ["Q1"]
     assert [(r["id"], r["names"]) for r in dump.humans(items, ["Q77"]).collect()] == [("Q2", ["d"])]
     assert items.filter(F.size("classes") > 0).count() == 2
+
+
+def test_queries_load_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 100"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
