@@ -208,6 +208,84 @@ class Compiler:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
+class PlanCompiler(Compiler):
+    """A formula whose ids stand for the columns of a table of plans: all plans of one shape are answered by one chain of joins.
+
+    plans has the columns `keys` and one column for each id of the formula, named by `columns` (id to column).
+    """
+
+    def __init__(self, triples: DataFrame, plans: DataFrame, keys: list[str], columns: dict[str, str]) -> None:
+        super().__init__(triples)
+        self.plans, self.keys, self.columns = plans, keys, columns
+
+    def relation(self, atom: Atom) -> DataFrame:
+        x, y = atom.args
+        value = y.type if isinstance(y, Const) else self.scope.types[y.name] if isinstance(y, Var) else ENT
+        rows = self.triples.select("p", F.col("s").alias("__s"), F.col(OBJECT[value]).alias("__o")).filter("__o IS NOT NULL")
+        out = {self.columns[atom.name]: "p"}
+        for col, arg in (("__s", x), ("__o", y)):
+            if isinstance(arg, Const):
+                rows = rows.filter(F.col(col) == F.lit(arg.value))
+                continue
+            if not isinstance(arg, Var) and not (isinstance(arg, Fn) and arg.kind == "entity"):
+                raise Unsafe("a property takes variables and constants")
+            name = arg.name if isinstance(arg, Var) else self.columns[arg.name]
+            if name in out:  # twice in one atom
+                rows = rows.filter(F.col(col) == F.col(out[name]))
+            else:
+                out[name] = col
+        return rows.select(*(F.col(c).alias(n) for n, c in out.items()))
+
+    def conjunction(self, atoms: list[Atom]) -> DataFrame | None:
+        out, have = self.plans, set()
+        for a in atoms:
+            if a.kind == "entity":
+                (arg,) = a.args
+                given = F.col(self.columns[a.name])
+                if isinstance(arg, Fn):
+                    out = out.filter(F.col(self.columns[arg.name]) == given)
+                elif arg.name in have:
+                    out = out.filter(F.col(arg.name) == given)
+                else:
+                    out = out.withColumn(arg.name, given)
+                    have.add(arg.name)
+        left = [a for a in atoms if a.kind == "property"]
+        while left:
+            atom = max(left, key=lambda a: (len(a.vars & have), sum(not isinstance(x, Var) for x in a.args)))
+            left.remove(atom)
+            rel = self.relation(atom)
+            out = out.join(rel, [c for c in rel.columns if c in out.columns])
+            have |= atom.vars
+        for a in atoms:
+            if a.kind in ("test", "not") and not a.vars <= have:
+                raise Unsafe(f"not restricted: {', '.join(sorted(a.vars - have))}")
+        for a in atoms:
+            if a.kind == "test":
+                out = out.filter(column_of(a.args[0]))
+        for a in atoms:
+            if a.kind == "not":
+                inner = self.union([list(d) for d in a.args], keep=a.vars | frozenset(self.keys))
+                if inner is not None:
+                    out = out.join(inner.distinct(), [*self.keys, *sorted(a.vars)], "left_anti")
+        return out
+
+
+def answer_plans(term: Term, triples: DataFrame, plans: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame | None:
+    """(keys, answer): the distinct answers of all plans, for a closed formula with one answer; None where it has another number."""
+    term = normalise(term)
+    if typecheck(term) != BOOL:
+        raise TypeFailure("a query must be of type t")
+    c = PlanCompiler(triples, plans, keys, columns)
+    outer = c.open(term)
+    names = c.scope.marked or list(c.scope.types)
+    if len(names) != 1:
+        return None
+    rows = c.union(c.disjuncts(outer))
+    if rows is None or names[0] not in rows.columns:
+        return None
+    return rows.select(*keys, F.col(names[0]).cast("string").alias("answer")).filter("answer IS NOT NULL").distinct()
+
+
 def compile_formula(term: Term, triples: DataFrame, products: bool = False) -> tuple[DataFrame | None, list[str], Scope]:
     """(bindings, answer columns, scope) of a closed formula. Without a marked variable all outer ones are answers. A formula
     whose parts share no variable is Unsafe unless `products` allows all their combinations."""

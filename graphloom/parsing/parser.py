@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.kb.compiler import answer_plans
 from graphloom.lang.parser import Context, parse, standard_context
 from graphloom.lang.terms import App, Fn, Term, apply, entity, normalise, prop, show, typecheck
 from graphloom.lang.types import BOOL, FAIL, Type, apply_type
@@ -285,33 +286,19 @@ class QuestionParser:
         return spark.createDataFrame([(list(x), y, float(w)) for (x, y), w in self.weights.items()], "x array<string>, y string, w double")
 
 
-def answers_by_shape(derivations: DataFrame, kb, most_shapes: int = 64) -> DataFrame:
-    """(qid, deriv, answer) of derivations of type t: one compiled plan a shape, its ids joined as columns where the
-    shape is a chain of properties from an entity, one plan a term otherwise. Shapes come from the grammar, not from
-    the data; more than most_shapes of them raise."""
-    shapes = [r["shape"] for r in derivations.select("shape").distinct().limit(most_shapes + 1).collect()]
+def answers_by_shape(derivations: DataFrame, kb, most_shapes: int = 64) -> DataFrame | None:
+    """(qid, deriv, answer) of derivations of type t with one answer variable: one compiled plan a shape, its ids being columns
+    that are joined. Shapes come from the grammar, not from the data; more than most_shapes of them raise. None for no shape."""
+    shapes = derivations.groupBy("shape").agg(F.min("term").alias("term")).limit(most_shapes + 1).collect()
     if len(shapes) > most_shapes:
         raise ValueError("more shapes than plans")
     out = None
-    for s in shapes:
-        own = derivations.filter(F.col("shape") == s)
-        ids = F.regexp_extract_all("term", F.lit(r"wdt?:([A-Z]\d+)"), 1)
-        part = _chain(own.select("qid", "deriv", ids.alias("ids")), s, kb)
-        if part is None:
-            for r in own.select("term").distinct().toLocalIterator():
-                rows = kb.query(r["term"], None)
-                if len(rows.columns) == 1:
-                    got = own.select("qid", "deriv", "term").join(rows.toDF("answer").withColumn("term", F.lit(r["term"])), "term").select("qid", "deriv", "answer")
-                    part = got if part is None else part.unionByName(got)
+    for r in shapes:
+        ids = list(dict.fromkeys(re.findall(r"wdt?:([A-Z]\d+)", r["term"])))
+        own = derivations.filter(F.col("shape") == r["shape"])
+        found = F.array_distinct(F.regexp_extract_all("term", F.lit(r"wdt?:([A-Z]\d+)"), 1))
+        plans = own.select("qid", "deriv", *(F.get(found, F.lit(i)).alias(f"__id{i}") for i in range(len(ids))))
+        part = answer_plans(kb.term(r["term"]), kb.triples, plans, ["qid", "deriv"], {x: f"__id{i}" for i, x in enumerate(ids)})
         if part is not None:
             out = part if out is None else out.unionByName(part)
     return out
-
-
-def _chain(plans: DataFrame, s: str, kb) -> DataFrame | None:
-    """Answers of 'which x has P y with y = Q' for all plans of the shape in one join."""
-    if not re.fullmatch(r"\( @exists \( (\S+):e \) \( exists \( (\S+):e \) \( and \( wdt:#0 \1 \2 \) \( wd:#1 \2 \) \) \) \)", s):
-        return None
-    t = kb.triples.select("s", "p", "o")
-    want = plans.select("qid", "deriv", F.get("ids", F.lit(0)).alias("wp"), F.get("ids", F.lit(1)).alias("wo"))
-    return want.join(t, (F.col("p") == F.col("wp")) & (F.col("o") == F.col("wo"))).select("qid", "deriv", F.col("s").alias("answer")).distinct()

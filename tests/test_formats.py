@@ -127,3 +127,33 @@ def test_queries_load_without_a_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 100"
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_all_shapes_answer_as_single_queries(spark):
+    rnd = random.Random(4)
+    items = [f"Q{i}" for i in range(12)]
+    rows = sorted({(rnd.choice(items), rnd.choice(["P1", "P2", "P3"]), rnd.choice(items)) for _ in range(90)})
+    graph = KnowledgeBase(spark.createDataFrame([(s, p, o, None, None, None) for s, p, o in rows], "s string, p string, o string, o_num double, o_str string, o_date date"))
+    forms = [
+        "(@exists (x:e) (exists (y:e) (and (wdt:{p} x y) (wd:{a} y))))",
+        "(@exists (x:e) (exists (y:e) (and (wdt:{p} y x) (exists (z:e) (and (wdt:{q} x z) (wd:{a} z))))))",
+        "(@exists (x:e) (exists (y:e) (and (and (wdt:{p} x y) (wd:{a} y)) (not (exists (z:e) (and (wdt:{q} x z) (wd:{b} z)))))))",
+        "(@exists (x:e) (or (exists (y:e) (and (wdt:{p} x y) (wd:{a} y))) (exists (y:e) (and (wdt:{q} y x) (wd:{b} y)))))",
+        "(@exists (x:e) (and (exists (y:e) (and (wdt:{p} x y) (wd:{a} y))) (exists (y:e) (and (wdt:{p} x y) (wd:{b} y)))))",
+        "(@exists (x:e) (wd:{a} x))",
+    ]
+    from graphloom.lang.terms import normalise, show
+    from graphloom.parsing.parser import shape
+
+    asked, want = [], set()
+    for i in range(60):
+        p, q = rnd.sample(["P1", "P2", "P3"], 2)
+        a, b = rnd.sample(items, 2)
+        term = normalise(parse(forms[i % len(forms)].format(p=p, q=q, a=a, b=b)))
+        asked.append((i, 0, show(term), shape(term)))
+    df = spark.createDataFrame(asked, "qid long, deriv int, term string, shape string")
+    for i in rnd.sample(range(60), 18):
+        want |= {(i, r[0]) for r in graph.query(asked[i][2], None).collect()}
+    sure = {i for i, _ in want}
+    got = {(r["qid"], r["answer"]) for r in answers_by_shape(df, graph).collect()}
+    assert want and {x for x in got if x[0] in sure} == want
