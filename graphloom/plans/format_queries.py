@@ -24,6 +24,7 @@ from graphloom.plans.etl_queries import _BASE, _CHAIN, _ENTITIES, _PAGERANK
 from graphloom.session import scratch, table
 from graphloom.text import functions as T
 from graphloom.text import tokenizer
+from graphloom.text.tokenizer import Trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -177,7 +178,7 @@ def text_trie_saved(spark, d):
     keys = table(spark, d, "lexicon_base").filter(F.col("enlabel").contains(" ")).select("row_id", "enlabel")
     with tempfile.TemporaryDirectory() as folder:  # on the driver, for the length of one write
         at = os.path.join(folder, "trie")
-        tokenizer.Trie(r[0] for r in keys.select("enlabel").distinct().toLocalIterator()).save(at)
+        Trie(r[0] for r in keys.select("enlabel").distinct().toLocalIterator()).save(at)
         with open(at, "rb") as f:
             saved = spark.sparkContext.broadcast(f.read())
 
@@ -186,7 +187,7 @@ def text_trie_saved(spark, d):
             path = os.path.join(own, "trie")
             with open(path, "wb") as f:
                 f.write(saved.value)
-            trie = tokenizer.Trie.load(path)
+            trie = Trie.load(path)
         for b in batches:
             rows = b.to_pandas()
             rows["longest"] = [t[: trie.longest(t + " et plus", 0)] for t in rows["enlabel"]]
