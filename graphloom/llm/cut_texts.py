@@ -2,7 +2,7 @@
 
 A backward character n-gram model, trained on values known to be whole, tells for the last characters
 of a text how much rather a value goes on after them than ends there. What a score means is learned for each language from
-values cut by ourselves; how often texts of the same source and kind (at its field's limit or not) are cut, and what it
+all values known to be whole, at their ends and at every place inside; how often texts of the same source and kind (at its field's limit or not) are cut, and what it
 means that other rows show the text whole or longer, is learned from all scores together. The threshold lies where the odds are even.
 """
 
@@ -28,54 +28,84 @@ from graphloom.session import cut
 ORDER, LABEL_ORDER = 12, 8
 #: Distinct values whose contexts a task counts at a time.
 COUNTED = 20_000
-#: Distinct labelled values at most on which the meaning of a score is fitted, and values that the shared curve weighs in each language's.
-CURVE_SAMPLE, CURVE_VALUES = 100_000, 200
-#: Labelled values of each language at most on which the languages' letters are learned.
-LANGUAGE_SAMPLE = 5_000
+#: Places that a task holds at a time.
+PLACES = 200_000
+#: What a value's end weighs, and all places inside it together, where the meaning of a score is fitted; whole numbers, so that their sums are the same in every run.
+WEIGHT = 1 << 24
+#: Values that the shared curve weighs in each language's.
+CURVE_VALUES = 200
 #: Weight of the shorter context in a longer one's estimate.
 BACKOFF = 4.0
 #: Scores are kept within this, in bins so wide.
 MOST, BIN = 14.0, 0.25
-#: What other rows say of a last value; a quote or array that was never closed has lost its end for certain.
-NOTHING, SHOWN, LONGER, OPEN = range(4)
+#: What other rows say of a last value; a quote or array that was never closed has lost its end for certain, a closed one below
+#: the field's limit has it.
+NOTHING, SHOWN, LONGER, OPEN, CLOSED = KINDS = range(5)
 
 MARKS = ("…", "...", "�")
 
 
-def language_model(values: DataFrame | None) -> Callable[[str], str]:
-    """Tells a text's language: its script's name, and in Latin letters the likeliest of the languages of `values` (value,
-    lang) by letter trigrams. LANGUAGE_SAMPLE values a language, by hash, come to the driver; without values all Latin
-    texts are of one language."""
+#: Letters that a lower-cased text in Latin letters may have.
+LATIN = frozenset(c for x in range(0x250) for c in chr(x).lower())
+
+
+class Languages:
+    """Tells a text's language: its script's name, and in Latin letters the likeliest of `langs` by letter trigrams, whose
+    `weights` are the log-rates in each. Without languages all Latin texts are of one."""
+
+    def __init__(self, langs: list[str], weights: dict[str, list[float]]):
+        self.langs, self.weights = langs, weights
+
+    def __call__(self, text: str) -> str:
+        for ch in text:
+            if ord(ch) > 0x24F and ch.isalpha():
+                return unicodedata.name(ch, "?").split(" ")[0].lower()
+        return self._likeliest(self._added([0.0] * len(self.langs), *_trigrams(text)))
+
+    def beginnings(self, text: str) -> list[str]:
+        """The language of text[:1], text[:2] and so on, in one pass."""
+        low = text.lower()
+        if len(low) != len(text):
+            return [self(text[:i]) for i in range(1, len(text) + 1)]
+        out, score = [], [0.0] * len(self.langs)
+        for i, ch in enumerate(text):
+            if ord(ch) > 0x24F and ch.isalpha():
+                return out + [unicodedata.name(ch, "?").split(" ")[0].lower()] * (len(text) - i)
+            before = low[i - 1] if i else " "
+            if i:
+                score = self._added(score, (low[i - 2] if i > 1 else " ") + before + low[i])
+            out.append(self._likeliest(self._added(score, before + low[i] + " ")))
+        return out
+
+    def _added(self, score: list[float], *grams: str) -> list[float]:
+        for g in grams:
+            if g in self.weights:
+                score = [x + w for x, w in zip(score, self.weights[g])]
+        return score
+
+    def _likeliest(self, score: list[float]) -> str:
+        return self.langs[score.index(max(score))] if self.langs else "latin"
+
+
+def language_model(values: DataFrame | None) -> Languages:
+    """The languages of `values` (value, lang), by the trigrams of all distinct ones. Those that a text in Latin letters may
+    have come to the driver, counted."""
     counts: dict[str, Counter] = {}
     if values is not None:
-        known = values.filter("value <> '' AND lang IS NOT NULL").distinct()
-        sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-        for lang, n in sizes.items():
-            share = min(1.0, LANGUAGE_SAMPLE / n)
-            for r in known.filter((F.col("lang") == lang) & (F.pmod(F.xxhash64("value"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select("value").collect():
-                counts.setdefault(lang, Counter()).update(_trigrams(r["value"]))
+        known = values.filter("value <> '' AND lang IS NOT NULL").select("value", "lang").distinct()
+        for r in known.mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
+            counts.setdefault(r["lang"], Counter())[r["gram"]] = r["n"]
     grams = sorted({g for c in counts.values() for g in c})
-    weights = {g: [] for g in grams}
     langs = sorted(counts)
-    for lang in langs:
-        c, total = counts[lang], sum(counts[lang].values()) + len(grams)
-        for g in grams:
-            weights[g].append(math.log((c[g] + 1) / total))
+    totals = [sum(counts[lang].values()) + len(grams) for lang in langs]
+    return Languages(langs, {g: [math.log((counts[lang][g] + 1) / n) for lang, n in zip(langs, totals)] for g in grams})
 
-    def tag(text: str) -> str:
-        for ch in text:
-            if ord(ch) > 0x24F and ch.isalpha():
-                return unicodedata.name(ch, "?").split(" ")[0].lower()
-        if not langs:
-            return "latin"
-        score = [0.0] * len(langs)
-        for g in _trigrams(text):
-            if g in weights:
-                for i, w in enumerate(weights[g]):
-                    score[i] += w
-        return langs[score.index(max(score))]
 
-    return tag
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = Counter((lang, g) for v, lang in zip(batch.column("value").to_pylist(), batch.column("lang").to_pylist()) for g in _trigrams(v))
+        rows = [(lang, g, n) for (lang, g), n in found.items() if all(c in LATIN or not c.isalpha() for c in g)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "gram", "n"])
 
 
 def _trigrams(text: str) -> list[str]:
@@ -103,13 +133,6 @@ def _hashes(values: list[str], order: int) -> Iterator[tuple[int, np.ndarray, np
             yield k, (at ^ (at >> np.uint64(32))).view(np.int64), depth >= max(1, k - 1), ends
 
 
-def hash_text(text: str) -> int:
-    h = 1469598103934665603
-    for b in text.encode():
-        h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
 def _count(order: int):
     """Ends and continuations of each context; rows of one context may come several times."""
 
@@ -205,49 +228,67 @@ def _curve(ends: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.array([math.log((p[1] + 0.5) / c) - math.log((p[0] + 0.5) / e) for p in pools for _ in range(int(p[2]))])
 
 
-def _tagged(tag: Callable[[str], str], halve: bool):
-    """Texts with their language; of labelled ones a second row, cut at a place inside that their hash tells."""
+def _tagged(tag: Callable[[str], str]):
+    """Texts with their language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, n = batch.column("value").to_pylist(), batch.column("n").to_pylist()
-            inside = [False] * len(values)
-            if halve:
-                more = [(v[: 1 + hash_text(v) % (len(v) - 1)], x) for v, x in zip(values, n) if len(v) > 1]
-                values, n, inside = values + [v for v, _ in more], n + [x for _, x in more], inside + [True] * len(more)
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(n, pa.int64()), pa.array([tag(v) for v in values], pa.string()), pa.array(np.full(len(values), int(halve))), pa.array(inside, pa.bool_())], names=["value", "n", "lang", "own", "inside"])
+            langs = pa.array([tag(v) for v in batch.column("value").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("value"), batch.column("n"), langs], names=["value", "n", "lang"])
 
     return run
 
 
-ASKED = "value string, n long, lang string, own long, inside boolean"
+def _places(tag: Callable[[str], str], order: int):
+    """Every place of whole values: the characters before it that a score looks at, the language of all that is before it,
+    whether the value goes on (`inside`), and its weight; rows of one kind may come several times."""
+    beginnings = getattr(tag, "beginnings", None) or (lambda v: [tag(v[:i]) for i in range(1, len(v) + 1)])
+
+    def rows(found: dict[tuple[str, str, bool], int]) -> pa.RecordBatch:
+        columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(found.values(), pa.int64())], names=["value", "lang", "inside", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str, bool], int] = {}
+        for batch in batches:
+            for v, n in zip(batch.column("value").to_pylist(), batch.column("n").to_pylist()):
+                share = n * WEIGHT // max(1, len(v) - 1)
+                for i, lang in enumerate(beginnings(v), 1):
+                    at = (v[max(0, i - order) : i], lang, i < len(v))
+                    found[at] = found.get(at, 0) + (share if i < len(v) else n * WEIGHT)
+                if len(found) >= PLACES:
+                    yield rows(found)
+                    found = {}
+        if found:
+            yield rows(found)
+
+    return run
 
 
 def train(values: DataFrame, tag: Callable[[str], str], order: int = ORDER) -> EndModel:
     """The model of the rows of `value`, its curves still missing (see `judge`)."""
     known = cut(values.filter("value <> ''").groupBy("value").agg(F.count("*").alias("n")))
-    total = known.agg(F.sum("n").alias("e"), F.sum(F.char_length("value") * F.col("n")).alias("places"), F.count("*").alias("values")).first()
+    total = known.agg(F.sum("n").alias("e"), F.sum(F.char_length("value") * F.col("n")).alias("places")).first()
     counts = known.mapInArrow(_count(order), "k int, h long, e long, m long").groupBy("k", "h").agg(F.sum("e").alias("e"), F.sum("m").alias("m"))
     model = EndModel(counts, ((total["e"] or 0) + 0.5) / ((total["places"] or 0) + 10.0), order)
-    share = min(1.0, CURVE_SAMPLE / max(1, total["values"]))
-    sample = known.filter(F.pmod(F.xxhash64("value"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    model.labelled = sample.mapInArrow(_tagged(tag, True), ASKED)
+    model.labelled = known.mapInArrow(_places(tag, order), "value string, lang string, inside boolean, n long").groupBy("value", "lang", "inside").agg(F.sum("n").alias("n"))
     return model
 
 
 def _scored(model: EndModel, values: DataFrame, tag: Callable[[str], str]) -> DataFrame:
-    """(value, lang, n, llr) of the distinct non-empty values, and the model's curves from its labelled values, scored with them.
+    """(value, lang, n, llr) of the distinct non-empty values, and the model's curves from its labelled places, scored with them.
 
-    The labelled values' scores, each leaving one occurrence out, tell what a score means: histograms of a hundred
+    The labelled places' scores, each leaving one occurrence out, tell what a score means: histograms of a hundred
     bins a language come to the driver.
     """
-    asked = values.filter("value <> ''").groupBy("value").agg(F.count("*").alias("n")).mapInArrow(_tagged(tag, False), ASKED)
-    rows = cut(model.odds(cut(asked.unionByName(model.labelled).withColumn("id", F.monotonically_increasing_id()))))
+    asked = values.filter("value <> ''").groupBy("value").agg(F.count("*").alias("n")).mapInArrow(_tagged(tag), "value string, n long, lang string")
+    asked = asked.withColumns({"own": F.lit(0).cast("long"), "inside": F.lit(False)}).unionByName(model.labelled.withColumn("own", F.lit(1).cast("long")))
+    rows = cut(model.odds(cut(asked.withColumn("id", F.monotonically_increasing_id()))))
     size = 2 * int(MOST / BIN) + 1
     bins: dict[str, np.ndarray] = {"*": np.zeros((2, size))}
     for r in rows.filter("own > 0").groupBy("lang", "inside", F.rint(F.col("score") / BIN).cast("int").alias("b")).agg(F.sum("n").alias("n")).collect():
         for lang in (r["lang"], "*"):
-            bins.setdefault(lang, np.zeros((2, size)))[int(r["inside"]), r["b"] + size // 2] += r["n"]
+            bins.setdefault(lang, np.zeros((2, size)))[int(r["inside"]), r["b"] + size // 2] += r["n"] / WEIGHT
     shared = bins["*"] / np.maximum(1, bins["*"].sum(axis=1, keepdims=True))
     model.curves = {x: _curve(*(b if x == "*" else b + CURVE_VALUES * shared)) for x, b in bins.items()}
     return rows.filter("own = 0").select("value", "lang", "n", model.meaning("lang", "score").alias("llr"))
@@ -285,7 +326,7 @@ def _rates(cells: list[tuple[str | None, bool, float, int, int]], limits: list[t
     cells (source, at limit, log-odds of the score, evidence, count).
 
     Expectation-maximisation: a text is cut or not; score and evidence follow from that alone. At a limit the pile
-    of lengths tells how many are cut; open texts are.
+    of lengths tells how many are cut; open texts are, closed ones aren't.
     """
     pile = {s: share for s, _, _, share in limits}
     groups = sorted({(c[0], c[1]) for c in cells}, key=str)
@@ -294,18 +335,19 @@ def _rates(cells: list[tuple[str | None, bool, float, int, int]], limits: list[t
     fixed = np.array([pile.get(s, 0.5) if f else -1.0 for s, f in groups])
     rate = np.where(fixed >= 0, fixed, 0.02)
     side = full.astype(int)
-    extra = np.zeros((2, 4))
+    extra = np.zeros((2, len(KINDS)))
     total = np.bincount(g, n, len(groups))
     for _ in range(rounds):
         odds = np.log(rate / (1 - rate))[g] + llr + extra[side, kind]
-        post = np.where(kind == OPEN, n, n / (1 + np.exp(-np.clip(odds, -60, 60))))
+        post = np.where(kind == OPEN, n, np.where(kind == CLOSED, 0, n / (1 + np.exp(-np.clip(odds, -60, 60)))))
         got = np.bincount(g, post, len(groups)) / total
         rate = np.where(fixed >= 0, fixed, np.clip(got, 1e-4, 0.5))
-        whole = np.bincount(kind, n - post, 4) + 0.5
+        whole = np.bincount(kind, n - post, len(KINDS)) + 0.5
         for f in (0, 1):
-            is_cut = np.bincount(kind[side == f], post[side == f], 4) + 0.5
+            is_cut = np.bincount(kind[side == f], post[side == f], len(KINDS)) + 0.5
+            whole[CLOSED] = 0.5 if f else whole[CLOSED]  # at the limit there is no such kind
             extra[f] = np.log(is_cut / is_cut.sum()) - np.log(whole / whole.sum())
-    return {k: math.log(r / (1 - r)) for k, r in zip(groups, rate)}, {(bool(f), k): extra[f, k] for f in (0, 1) for k in range(4)}
+    return {k: math.log(r / (1 - r)) for k, r in zip(groups, rate)}, {(bool(f), k): extra[f, k] for f in (0, 1) for k in KINDS}
 
 
 def _decided(ends: DataFrame, limits: list) -> DataFrame:
@@ -355,6 +397,11 @@ def evidence(labels: DataFrame) -> DataFrame:
     return both.select("key", kind.alias("evidence")).filter(F.col("evidence") != NOTHING)
 
 
+def _closing(text: str) -> Column:
+    """How many marks that close a quote or an array a text ends with; the value inside has fewer."""
+    return F.char_length(F.rtrim(text, F.lit(" \t\r\n"))) - F.char_length(F.rtrim(text, F.lit('"] \t\r\n')))
+
+
 def cut_lists(df: DataFrame, key: str, text: str, source: str, entity: str, cut_ids: DataFrame | None = None, languages: DataFrame | None = None) -> DataFrame:
     """The keys of rows whose packed list of labels `text` was stored without its end.
 
@@ -364,22 +411,22 @@ def cut_lists(df: DataFrame, key: str, text: str, source: str, entity: str, cut_
     blank texts are no case. Repeated rows are judged alike.
     """
     limits = field_limits(df, source, text)
-    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("text_id"), at_limit(limits, source, text).alias("at_limit"), bare_id(entity).alias("entity"))
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("text_id"), at_limit(limits, source, text).alias("at_limit"), bare_id(entity).alias("entity"), _closing(text).alias("closing"))
     if cut_ids is not None:
         rows = rows.join(cut_ids.select(F.col(key).alias("ck"), F.lit(True).alias("off")), F.col("key") == F.col("ck"), "left").withColumn("entity", F.when(F.col("off").isNull(), F.col("entity"))).drop("ck", "off")
     split = split_packed(df, key, text).select(F.col(key).alias("k"), F.col("label_value").alias("value"), "is_last", "is_open")
     labels = cut(split.join(rows, F.col("k") == F.col("key")).drop("k"))
     tag = language_model(languages)
     model = train(labels.filter("NOT is_last").select("value"), tag, LABEL_ORDER)
-    ends = labels.filter("is_last").select("key", "source", "at_limit", "value", "is_open")
+    ends = labels.filter("is_last").select("key", "source", "at_limit", "value", "is_open", (~F.col("is_open") & ~F.col("at_limit") & (F.col("closing") > _closing("value"))).alias("is_closed"))
     # at the limit a mark for what was left out isn't part of the value
     last = "(" + "|".join(re.escape(x) for x in MARKS) + r")\z"
     ends = ends.withColumn("value", F.when(F.col("at_limit"), F.regexp_replace("value", last, "")).otherwise(F.col("value")))
     scores = _scored(model, ends, tag).select(F.col("value").alias("v"), "llr")
     scored = ends.join(scores, F.col("value") == F.col("v"), "left").drop("v").withColumn("llr", F.coalesce("llr", F.lit(MOST)))  # nothing but a mark is left
     shown = evidence(labels).withColumnRenamed("key", "sk")
-    judged = scored.join(shown, F.col("key") == F.col("sk"), "left").withColumn("evidence", F.when(F.col("is_open"), OPEN).otherwise(F.coalesce("evidence", F.lit(NOTHING))))
-    return _decided(cut(judged.select("key", "source", "at_limit", "llr", "evidence")), limits).filter((F.col("odds") > 0) | (F.col("evidence") == OPEN)).select(F.col("key").alias(key))
+    judged = scored.join(shown, F.col("key") == F.col("sk"), "left").withColumn("evidence", F.when(F.col("is_open"), OPEN).when(F.col("is_closed"), CLOSED).otherwise(F.coalesce("evidence", F.lit(NOTHING))))
+    return _decided(cut(judged.select("key", "source", "at_limit", "llr", "evidence")), limits).filter((F.col("odds") > 0) & (F.col("evidence") != CLOSED) | (F.col("evidence") == OPEN)).select(F.col("key").alias(key))
 
 
 def cut_codes(df: DataFrame, key: str, code: str) -> DataFrame:

@@ -74,3 +74,50 @@ def test_contexts_never_seen_back_off(spark):
             rate = (e + cut_texts.BACKOFF * rate) / (e + m + cut_texts.BACKOFF)
         want = max(-cut_texts.MOST, min(cut_texts.MOST, math.log((1 - rate) / rate) - math.log((1 - first) / first)))
         assert abs(got[i] - want) < 1e-9
+
+
+def test_curves_learn_from_every_whole_value(spark):
+    values = [f"{i:06d}" for i in range(120_000)]
+    model = cut_texts.train(spark.createDataFrame([(v,) for v in values], "value string"), lambda _: "x", cut_texts.LABEL_ORDER)
+    assert model.labelled.filter("NOT inside").select("value").distinct().count() == len(values)
+    assert {r["value"] for r in model.labelled.filter("inside").select("value").distinct().collect()} == {v[:i] for v in values for i in range(1, 6)}
+
+
+def test_every_place_weighs_its_share(spark):
+    values = ["pont de Morbray", "pont de Morbray", "gare", "a", "rue de Morbray", "ab", "xxxx"]
+    tag = lambda t: str(len(t) > 3)
+    model = cut_texts.train(spark.createDataFrame([(v,) for v in values], "value string"), tag, 5)
+    got = {(r["value"], r["lang"], r["inside"]): r["n"] / cut_texts.WEIGHT for r in model.labelled.collect()}
+    want = {}
+    for v in values:
+        for i in range(1, len(v) + 1):
+            at = (v[:i][-5:], tag(v[:i]), i < len(v))
+            want[at] = want.get(at, 0) + (1 / (len(v) - 1) if i < len(v) else 1)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    # the characters that a score looks at tell as much as all that is before a place
+    texts = [v[:i] for v in values for i in range(1, len(v) + 1)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *(t[-5:] for t in texts)])], "id long, value string")
+    score = {r["id"]: r["score"] for r in model.odds(df).collect()}
+    assert all(score[i] == score[i + len(texts)] for i in range(len(texts)))
+
+
+def test_languages_learn_from_every_value(spark):
+    letters = [chr(c) for c in range(0x100, 0x250) if chr(c).islower()]
+    known = [(str(i), lang) for i in range(12_000) for lang in "xy"] + [(ch * 3, "xy"[i % 2]) for i, ch in enumerate(letters)]
+    tag = cut_texts.language_model(spark.createDataFrame(known, "value string, lang string"))
+    assert [tag(ch * 3) for ch in letters] == ["xy"[i % 2] for i in range(len(letters))]
+
+
+def test_languages_of_beginnings(spark):
+    known = [(w, "fr") for w in ("château de Vigny", "l'île", "gare")] + [(w, "en") for w in ("castle of Vigny", "the isle", "station")]
+    texts = ["", "a", "château of the isle", "İle de İstanbul", "Πόλις", "gare ΑΣ", "the 駅 station", "Ⱥ gare", "état… 100 %"]
+    for tag in (cut_texts.language_model(spark.createDataFrame(known, "value string, lang string")), cut_texts.language_model(None)):
+        for t in texts:
+            assert tag.beginnings(t) == [tag(t[:i]) for i in range(1, len(t) + 1)]
+
+
+def test_closed_values_are_whole(spark):
+    texts = ["gare", "gare; pont de", '"gare", "pont"', '"gare" ; "pont" \n', '["gare", "pont"]', '["gare", "pont" ] ', 'le "pont"', "[pont]", '"le ""pont"""', '["a]"]', '"a]"', 'gare; "pont']
+    values = ["gare", "pont de", "pont", "pont", "pont", "pont", 'le "pont"', "[pont]", 'le "pont"', "a]", "a]", "pont"]
+    df = spark.createDataFrame(list(zip(texts, values)), "text string, value string")
+    assert [r[0] for r in df.select(cut_texts._closing("text") > cut_texts._closing("value")).collect()] == [False] * 2 + [True] * 4 + [False] * 2 + [True] * 3 + [False]
