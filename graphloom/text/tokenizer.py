@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -258,10 +259,41 @@ def read_lexicon_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def longest_prefix(texts: DataFrame, key: str, text: str, keys: DataFrame) -> DataFrame:
-    """(key, named_entity): the longest key that begins each text; by equality on the lengths that keys have, no pair is tried in vain."""
-    lengths = [r[0] for r in keys.select(F.length("named_entity").alias("n")).distinct().collect()]  # as many as keys have lengths
-    if not lengths:
+    """(key, named_entity): the longest key that begins each text.
+
+    Keys and texts are sorted together, byte by byte; all that lies between a key and a text it begins begins with it, too, so a
+    part of the sorted rows meets its keys in one pass. A key of an earlier part also begins the part's first row: texts that
+    met no key carry what they share with that row, and are looked up by it.
+    """
+    known = keys.filter("named_entity IS NOT NULL").select(F.col("named_entity").cast("binary").alias("s")).distinct()
+    longest = known.agg(F.max(F.octet_length("s"))).first()[0]
+    if longest is None:
         return texts.select(key, F.lit(None).cast("string").alias("named_entity")).limit(0)
-    heads = texts.select(key, F.explode(F.array(*(F.when(F.length(text) >= n, F.substring(text, 1, n)) for n in lengths))).alias("head")).filter("head IS NOT NULL")
-    hits = heads.join(keys.select("named_entity").distinct(), F.col("head") == F.col("named_entity"))
-    return hits.groupBy(key).agg(F.max_by("named_entity", F.length("named_entity")).alias("named_entity"))
+    kind = texts.schema[key].dataType
+    asked = texts.filter(F.col(text).isNotNull()).select(F.substring(F.col(text).cast("binary"), 1, longest).alias("s"), F.lit(True).alias("asked"), F.col(key).alias("k"))
+    rows = asked.unionByName(known.select("s", F.lit(False).alias("asked"), F.lit(None).cast(kind).alias("k")))
+    met = cut(rows.repartitionByRange("s", "asked", "k").sortWithinPartitions("s", "asked").mapInArrow(_begun, f"k {kind.simpleString()}, hit binary, head binary"))
+    heads = met.filter("hit IS NULL").select("head").distinct()
+    begins = heads.select("head", F.explode(F.transform(F.sequence(F.lit(0), F.octet_length("head")), lambda n: F.substring("head", F.lit(1), n))).alias("s"))
+    found = begins.join(known, "s").groupBy("head").agg(F.max_by("s", F.octet_length("s")).alias("hit"))
+    hits = met.filter("hit IS NOT NULL").select("k", "hit").unionByName(met.filter("hit IS NULL").select("k", "head").join(found, "head").select("k", "hit"))
+    name = F.col("hit").cast("string")
+    return hits.groupBy(F.col("k").alias(key)).agg(F.max_by(name, F.struct(F.length(name), name)).alias("named_entity"))
+
+
+def _begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, hit, head) of the texts of sorted rows (s, asked, k): the longest key among the rows that begins each; without one, what it shares with the first row."""
+    first, open_keys = None, []  # each of the keys begins the next
+    for b in batches:
+        at, hits, heads = [], [], []
+        for n, (s, asked) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            first = s if first is None else first
+            while open_keys and not s.startswith(open_keys[-1]):
+                open_keys.pop()
+            if not asked:
+                open_keys.append(s)
+                continue
+            at.append(n)
+            hits.append(open_keys[-1] if open_keys else None)
+            heads.append(None if open_keys else os.path.commonprefix([first, s]))
+        yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(at, pa.int64())), pa.array(hits, pa.binary()), pa.array(heads, pa.binary())], names=["k", "hit", "head"])

@@ -54,6 +54,35 @@ def test_tokens_with_keys_and_compounds(spark):
     assert sorted(map(tuple, best.collect()))[-1] == (4, "Par")
 
 
+def test_longest_prefix_at_any_number_of_lengths(spark):
+    chars = random.Random(5)
+    some = lambda n, most: ["".join(chars.choice("abé") for _ in range(chars.randint(0, most))) for _ in range(n)]
+    texts = [*((i, t) for i, t in enumerate(some(1500, 12))), *((1500 + i, "aab" * 30) for i in range(300)), (9000, None), (7, "éabé"), (None, "aab")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    chains = ["aab" * n for n in range(1, 31)]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")  # parts end between keys and the texts they begin
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for keys in ([*some(150, 5), "b"], [*some(20, 3), "", *chains], [k for k in some(40, 6) if len(k) > 3], []):
+            want: dict = {}
+            for i, t in texts:
+                for k in keys:
+                    if t is not None and t.startswith(k) and (i not in want or (len(k), k.encode()) > (len(want[i]), want[i].encode())):
+                        want[i] = k
+            got = K.longest_prefix(docs, "doc_id", "text", spark.createDataFrame([(k,) for k in [*keys, *keys[:9], None]], "named_entity string")).collect()
+            assert len(got) == len(want) and {r[0]: r[1] for r in got} == want
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+    def plan(most):
+        keys = spark.range(1, most).select(F.repeat(F.lit("x"), F.col("id").cast("int")).alias("named_entity"))
+        return len(K.longest_prefix(docs, "doc_id", "text", keys)._jdf.queryExecution().optimizedPlan().toString())
+
+    assert plan(200) < 2 * plan(3)  # the driver's plan doesn't grow with the lengths that keys have
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"utterance": "a", "targetValue": "Q1"}\n')
     assert K.read_questions(spark, str(tmp_path / "q.jsonl")).first()["utterance"] == "a"
