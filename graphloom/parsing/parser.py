@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,6 +24,22 @@ from graphloom.parsing import vectors as V
 from graphloom.session import cut
 
 WH_TERM = "(lambda (P:e=>t) (@exists (x:e) (P x)))"
+#: Derivations of a batch sent back, beside those of its last question.
+SENT = 20_000
+#: Derivations that a task keeps for questions of the same tokens.
+KNOWN = 10_000
+#: What is told of a derivation beside its question: types of Spark and Arrow, and what a question without a parse has.
+COLUMNS = {
+    "deriv": ("int", pa.int32(), -1),
+    "score": ("double", pa.float64(), 0.0),
+    "ltype": ("string", pa.string(), None),
+    "term": ("string", pa.string(), None),
+    "shape": ("string", pa.string(), None),
+    "features": ("array<struct<x:array<string>,y:string,n:int>>", pa.list_(pa.struct([("x", pa.list_(pa.string())), ("y", pa.string()), ("n", pa.int32())])), []),
+    "status": ("string", pa.string(), "no_parse"),
+    "steps": ("array<string>", pa.list_(pa.string()), []),
+    "display": ("string", pa.string(), None),
+}
 
 
 @dataclass(frozen=True)
@@ -183,6 +199,23 @@ class Machine:
                 (done if new.at == len(tokens) and len(new.stack) == 1 else beam).append(new)
         return sorted(done, key=lambda s: s.score, reverse=True)
 
+    def described(self, tokens: list[Token], width: int, wanted: Sequence[str]) -> list[tuple]:
+        """A row of the wanted COLUMNS for each complete derivation, best first; one if there is none."""
+        out = []
+        for i, s in enumerate(self.parse(tokens, width)):
+            told: dict = {"deriv": i, "score": s.score, "ltype": s.stack[0].type if isinstance(s.stack[0].type, str) else "function", "status": "ok", "steps": list(s.steps)}
+            term = normalise(s.stack[0].term) if "term" in wanted or "shape" in wanted else None
+            if "term" in wanted:
+                told["term"] = show(term)
+            if "shape" in wanted:
+                told["shape"] = shape(term)
+            if "features" in wanted:
+                told["features"] = [{"x": list(x), "y": y, "n": n} for (x, y), n in Counter(s.features).items()]
+            if "display" in wanted:
+                told["display"] = self.replay(tokens, told["steps"])[1]
+            out.append(tuple(told[c] for c in wanted))
+        return out or [tuple(COLUMNS[c][2] for c in wanted)]
+
 
 def token(form: str, macro: str | None, wh: Term) -> Token:
     if not macro:
@@ -212,34 +245,48 @@ class QuestionParser:
         self.weights = weights or {}
         self.width = width
 
-    def derivations(self, tokens: DataFrame) -> DataFrame:
+    def derivations(self, tokens: DataFrame, columns: Sequence[str] = tuple(COLUMNS)) -> DataFrame:
         """(qid, deriv, score, ltype, term, shape, features, status, steps, display): all complete derivations with their actions and
-        the tree that shows them; status no_parse rows have deriv -1.
+        the tree that shows them; status no_parse rows have deriv -1. Of `columns`, only those are made.
 
-        A question's tokens are gathered to a row; a question is a sentence, not a corpus.
+        A question's tokens are gathered to a row; a question is a sentence, not a corpus. Questions of the same tokens have the
+        same derivations, which a task makes once and sends for each of them. The number of tasks is given, as questions
+        are few bytes for the work they make.
         """
-        questions = tokens.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "form", "macro"))).alias("toks"))
+        tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        questions = tokens.repartition(tasks, "qid").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "form", "macro"))).alias("toks"))
         held = tokens.sparkSession.sparkContext.broadcast(self.weights)  # as many as features of the training questions
-        width = self.width
-        schema = "qid long, deriv int, score double, ltype string, term string, shape string, features array<struct<x:array<string>,y:string,n:int>>, status string, steps array<string>, display string"
+        width, wanted = self.width, list(columns)
+        schema = ", ".join(["qid long", *(f"{c} {COLUMNS[c][0]}" for c in wanted)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machine, wh = Machine(held.value), parse(WH_TERM)
+            known: dict[tuple, list[tuple]] = {}
+            n_known = 0
             for b in batches:
-                out: list[tuple] = []
+                qids, own, at, places = [], [], [], {}
+
+                def rows() -> pa.RecordBatch:
+                    cols = list(zip(*own)) or [[] for _ in wanted]
+                    made = [pa.array(list(c), COLUMNS[name][1]).take(pa.array(at, pa.int32())) for c, name in zip(cols, wanted)]
+                    return pa.RecordBatch.from_arrays([pa.array(qids, pa.int64()), *made], names=["qid", *wanted])
+
                 for qid, toks in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    words = [token(t["form"], t["macro"], wh) for t in toks]
-                    done = machine.parse(words, width)
-                    if not done:
-                        out.append((qid, -1, 0.0, None, None, None, [], "no_parse", [], None))
-                    for i, s in enumerate(done):
-                        term = normalise(s.stack[0].term)
-                        counts = Counter(s.features)
-                        kind = s.stack[0].type
-                        out.append((qid, i, s.score, kind if isinstance(kind, str) else "function", show(term), shape(term), [{"x": list(x), "y": y, "n": n} for (x, y), n in counts.items()], "ok", list(s.steps), machine.replay(words, list(s.steps))[1]))
-                cols = list(zip(*out)) or [[] for _ in range(10)]
-                types = [pa.int64(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("x", pa.list_(pa.string())), ("y", pa.string()), ("n", pa.int32())])), pa.string(), pa.list_(pa.string()), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["qid", "deriv", "score", "ltype", "term", "shape", "features", "status", "steps", "display"])
+                    question = tuple((t["form"], t["macro"]) for t in toks)
+                    if question not in places:
+                        if question not in known:
+                            known[question] = machine.described([token(form, macro, wh) for form, macro in question], width, wanted)
+                            n_known += len(known[question])
+                        places[question] = range(len(own), len(own) + len(known[question]))
+                        own.extend(known[question])
+                        while n_known > KNOWN:  # the oldest
+                            n_known -= len(known.pop(next(iter(known))))
+                    at.extend(places[question])
+                    qids.extend([qid] * len(places[question]))
+                    if len(at) >= SENT:
+                        yield rows()
+                        qids, own, at, places = [], [], [], {}
+                yield rows()
 
         return questions.select(F.col("qid").cast("long").alias("qid"), "toks").mapInArrow(run, schema)
 

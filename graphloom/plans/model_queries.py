@@ -13,7 +13,7 @@ from graphloom.lang.parser import parse, standard_context
 from graphloom.lang.terms import Lam, Var, substitute
 from graphloom.parsing import vectors as V
 from graphloom.parsing.parser import QuestionParser, answers_by_shape
-from graphloom.session import scratch, table
+from graphloom.session import cut, scratch, table
 from graphloom.text import tokenizer
 from graphloom.trees import tables
 from graphloom.trees import tree as T
@@ -220,7 +220,7 @@ def parse_weighted(spark, d):
     """The best derivation under weights that favour shifting everything and joining; probabilities among the derivations of type t."""
     heavy = {(("B", "#END#"), ">[JOIN]"): 0.0, (("S", "#START#"), "S"): 3.0}
     parser = QuestionParser(heavy)
-    got = V.probabilities(parser.derivations(_asked(spark, d)).filter("ltype = 't'"))
+    got = V.probabilities(cut(parser.derivations(_asked(spark, d), ["score", "ltype", "term", "steps"]).filter("ltype = 't'")))
     # all three shift the question word first, so they share what it brings
     best = got.filter(F.array_join("steps", " ") == "S S S >[JOIN] >")
     return best.select("qid", "term", F.round("p", 6).alias("p"))

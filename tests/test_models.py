@@ -1,11 +1,13 @@
 import io
 import math
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.kb import KnowledgeBase
 from graphloom.lang.shell import Shell
+from graphloom.parsing import parser
 from graphloom.parsing import vectors as V
 from graphloom.parsing.parser import Machine, QuestionParser, actions, answers_by_shape
 from graphloom.plans import model_queries
@@ -122,3 +124,35 @@ def test_registered_parser_keeps_all_derivations(spark, tmp_path):
     p = {w: round(QuestionParser(width=w).predict(tokens).first()["p"], 6) for w in (20, 500)}
     got = {r["qid"]: r["p"] for r in model_queries.parse_questions(spark, str(tmp_path)).collect()}
     assert n == {20: 2, 500: 16} and got[3] == p[500] != p[20]
+
+
+def test_equal_questions_are_parsed_once_a_task(spark, tmp_path, monkeypatch):
+    at, parsed = tmp_path / "parsed", Machine.parse
+    at.mkdir()
+
+    def parse(self, tokens, width):
+        (at / str(uuid.uuid4())).touch()
+        return parsed(self, tokens, width)
+
+    monkeypatch.setattr(Machine, "parse", parse)
+    spark.range(600).selectExpr("id AS c_custkey", "CAST(id % 3 AS int) AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = model_queries.parse_weighted(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(i, f"(@exists (x:e) (exists (y:e) (and (wdt:P2 x y) (wd:Q200000000{i % 3} y))))", 0.333333) for i in range(600)} and len(got) == 600
+    assert len(list(at.iterdir())) <= 3 * 4  # the questions of 3 nations in 4 tasks
+
+
+@pytest.mark.parametrize("sent, known", [(20_000, 10_000), (7, 12), (1, 0)])
+def test_equal_questions_have_their_own_rows(spark, monkeypatch, sent, known):
+    monkeypatch.setattr(parser, "SENT", sent)
+    monkeypatch.setattr(parser, "KNOWN", known)
+    rows = [(q + 3 * i, pos, form, macro) for i in range(40) for q, pos, form, macro in TOKENS]
+    tokens = spark.createDataFrame(rows, "qid long, pos int, form string, macro string")
+    one = {q: [] for q in (1, 2, 3)}
+    for r in QuestionParser(width=50).derivations(spark.createDataFrame(TOKENS, tokens.schema)).orderBy("deriv").collect():
+        one[r["qid"]].append(r[1:])
+    got = {q: [] for q in range(1, 121)}
+    for r in QuestionParser(width=50).derivations(tokens).orderBy("deriv").collect():
+        got[r["qid"]].append(r[1:])
+    assert all(got[q] == one[(q - 1) % 3 + 1] for q in got) and len(one[1]) > 1 and one[2] == [(-1, 0.0, None, None, None, [], "no_parse", [], None)]
+    some = QuestionParser(width=50).derivations(tokens, ["term", "deriv"])
+    assert some.columns == ["qid", "term", "deriv"] and {tuple(r) for r in some.collect()} == {(q, x[3], x[0]) for q in got for x in got[q]}
