@@ -274,7 +274,8 @@ def longest_prefix(texts: DataFrame, key: str, text: str, keys: DataFrame) -> Da
     rows = asked.unionByName(known.select("s", F.lit(False).alias("asked"), F.lit(None).cast(kind).alias("k")))
     met = cut(rows.repartitionByRange("s", "asked", "k").sortWithinPartitions("s", "asked").mapInArrow(_begun, f"k {kind.simpleString()}, hit binary, head binary"))
     heads = met.filter("hit IS NULL").select("head").distinct()
-    begins = heads.select("head", F.explode(F.transform(F.sequence(F.lit(0), F.octet_length("head")), lambda n: F.substring("head", F.lit(1), n))).alias("s"))
+    sizes = known.select(F.octet_length("s").alias("n")).distinct()
+    begins = heads.join(sizes, F.col("n") <= F.octet_length("head")).select("head", F.substring("head", F.lit(1), F.col("n")).alias("s"))
     found = begins.join(known, "s").groupBy("head").agg(F.max_by("s", F.octet_length("s")).alias("hit"))
     hits = met.filter("hit IS NOT NULL").select("k", "hit").unionByName(met.filter("hit IS NULL").select("k", "head").join(found, "head").select("k", "hit"))
     name = F.col("hit").cast("string")

@@ -72,6 +72,10 @@ def test_longest_prefix_at_any_number_of_lengths(spark):
                         want[i] = k
             got = K.longest_prefix(docs, "doc_id", "text", spark.createDataFrame([(k,) for k in [*keys, *keys[:9], None]], "named_entity string")).collect()
             assert len(got) == len(want) and {r[0]: r[1] for r in got} == want
+        wide = docs.unionByName(spark.range(300).select((F.col("id") + 20_000).alias("doc_id"), F.concat(F.repeat(F.lit("b"), 100_000), F.col("id").cast("string")).alias("text")))
+        got = K.longest_prefix(wide, "doc_id", "text", spark.createDataFrame([("b" * 100_000 + "7",), ("aa",)], "named_entity string"))
+        want = {(i, "aa") for i, t in texts if t and t.startswith("aa")} | {(20_000 + i, "b" * 100_000 + "7") for i in range(300) if str(i)[0] == "7"}
+        assert {tuple(r) for r in got.collect()} == want
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
